@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, fingerprints, packing
+from . import bitpack, fingerprints, media, packing, toxicity
 from .common import stored, table
 
 
+HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 3 = 1"
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, training=f"NOT ({HELD_OUT})")
+    scored = toxicity.add_scores(docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -24,7 +39,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op9_bitpack, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_media, op3_toxicity, op7_packing, op9_bitpack, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
