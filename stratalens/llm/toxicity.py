@@ -4,7 +4,7 @@ Two zstandard dictionaries are made from labelled texts, one of the words that t
 more often than ordinary ones, one of ordinary text's words. A window is one word (lower case,
 outer ASCII marks off, at most WORD characters), written REPEAT times because zstandard stores
 what it can't shorten as it is. Its compressed lengths under both dictionaries fall into a cell;
-the cell's weight is calibrated on labelled texts that made no dictionary: the log ratio of the
+the cell's weight is calibrated on labelled texts against dictionaries of others: the log ratio of the
 shares of toxic and of ordinary texts with such a window. A text's score is a logistic function
 of its largest weights. Lengths are kept per word, so a word is compressed once per worker.
 
@@ -31,6 +31,7 @@ WORD, REPEAT, LEVEL, TOP, MAX_WORDS = 40, 3, 3, 4, 500_000
 #: Labelled rows per class that the model is fitted on, the first by a hash of their id.
 SAMPLE = 3_000
 THRESHOLD = 0.7
+FOLDS, OVER = 4, 3.0
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -82,8 +83,7 @@ class Scorer(dict):
         got = self[word] = self.model.weights.get(self.cell(word), 0.0)
         return got
 
-    def features(self, text: str | None) -> list[float]:
-        found = words(text)
+    def features(self, found: list[str]) -> list[float]:
         top = np.zeros(TOP)
         if found:
             w = np.fromiter(map(self.__getitem__, found), float, len(found))
@@ -92,56 +92,60 @@ class Scorer(dict):
         return [1.0, *top.tolist(), math.log1p(len(found))]
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.features(text), self.model.coef))
+        z = float(np.dot(self.features(words(text)), self.model.coef))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(texts: Iterable[str | None], toxic: Iterable[int], dictionary_words: int = 6_000, ordinary_words: int = 60_000) -> Model:
-    """A model of labelled texts, on the driver: even families of near copies make the dictionaries, odd ones calibrate."""
-    rows = [(words(t), t, int(y)) for t, y in zip(texts, toxic, strict=True)]
-    families: list[dict[int, set[str]]] = [{}, {}]
-    frequency: Counter[str] = Counter()
-    rest = []
-    for found, text, y in rows:
-        family = _family(found)
-        if family % 2:
-            rest.append((text, y, family))
-        else:
-            families[y].setdefault(family, set()).update(found)
-            if not y:
-                frequency.update(found)
-    if not all(families) or len({y for _, y, _ in rest}) < 2:
-        return Model()
-    n = [len(f) for f in families]
-    df = [Counter(w for f in side.values() for w in f) for side in families]
-    over = {w: (c / n[1]) / ((df[0][w] + 0.5) / n[0]) for w, c in df[1].items() if c >= 2}
-    chosen = sorted((w for w, r in over.items() if r >= 3), key=lambda w: (-df[1][w] * math.log(over[w]), w))[:dictionary_words]
-    common = [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[:ordinary_words] if w not in over or over[w] < 3]
+def _model(toxic: Counter, n_toxic: int, plain: Counter, n_plain: int, frequency: Counter, dictionary_words: int, ordinary_words: int) -> Model:
+    """Dictionaries from the counts of families that hold a word, toxic and plain ones, and the words' frequency in plain ones."""
+    over = {w: (c / n_toxic) / ((plain[w] + 0.5) / n_plain) for w, c in toxic.items() if c >= 2}
+    chosen = sorted((w for w, r in over.items() if r >= OVER), key=lambda w: (-toxic[w] * math.log(over[w]), w))[:dictionary_words]
+    common = [w for w, c in sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[:ordinary_words] if c > 0 and over.get(w, 0) < OVER]
     # zstandard reaches the end of a dictionary most cheaply
     join = lambda ws: (" " + " ".join(reversed(ws)) + " ").encode("utf-8", "replace")
-    model = Model(join(chosen), join(common))
-    scorer = Scorer(model)
-    cells: dict[str, tuple[int, int]] = {}
-    seen: list[Counter] = [Counter(), Counter()]
-    of = [Counter(y for y, _ in {(y, f) for _, y, f in rest})[k] for k in (0, 1)]
-    for y, family_cells in ((y, c) for y, c in _cells_by_family(rest, scorer, cells)):
-        seen[y].update(family_cells)
-    for c in seen[0].keys() | seen[1].keys():
-        a, b = (seen[1][c] + 1) / (of[1] + 2), (seen[0][c] / of[0] * of[1] + 1) / (of[1] + 2)
-        model.weights[c] = math.log(a / b)
-    x = np.array([scorer.features(t) for t, _, _ in rest])
-    model.coef = _logistic(x, np.array([y for _, y, _ in rest], float)).tolist()
-    return model
+    return Model(join(chosen), join(common))
 
 
-def _cells_by_family(rest, scorer: Scorer, cells: dict) -> Iterable[tuple[int, set]]:
-    by: dict[tuple[int, int], set] = {}
-    for text, y, family in rest:
-        for w in set(words(text)):
-            if w not in cells:
-                cells[w] = scorer.cell(w)
-            by.setdefault((y, family), set()).add(cells[w])
-    return ((y, c) for (y, _), c in by.items())
+def fit(texts: Iterable[str | None], toxic: Iterable[int], dictionary_words: int = 6_000, ordinary_words: int = 60_000) -> Model:
+    """A model of labelled texts, on the driver.
+
+    Near copies form a family (see _family) and count once. The cells are calibrated on FOLDS
+    folds of families, each against dictionaries of the other folds; then all make the dictionaries.
+    """
+    rows = [(words(t), int(y)) for t, y in zip(texts, toxic, strict=True)]
+    families: dict[tuple[int, int], Counter] = {}
+    for found, y in rows:
+        families.setdefault((_family(found), y), Counter()).update(found)
+    n = [Counter(f % FOLDS for f, y in families if y == k) for k in (0, 1)]
+    if min(len(n[0]), len(n[1])) < 2:
+        return Model()
+    df = {(k, y): Counter() for k in range(FOLDS) for y in (0, 1)}
+    frequency = [Counter() for _ in range(FOLDS)]
+    for (f, y), found in families.items():
+        df[f % FOLDS, y].update(found.keys())
+        if not y:
+            frequency[f % FOLDS].update(found)
+    total = [sum((df[k, y] for k in range(FOLDS)), Counter()) for y in (0, 1)]
+    whole, size = sum(frequency, Counter()), [sum(n[y].values()) for y in (0, 1)]
+    scorers, seen = [], [Counter(), Counter()]
+    for k in range(FOLDS):
+        left = [total[y] - df[k, y] for y in (0, 1)]
+        scorer = Scorer(_model(left[1], max(1, size[1] - n[1][k]), left[0], max(1, size[0] - n[0][k]), whole - frequency[k], dictionary_words, ordinary_words))
+        cells = {w: scorer.cell(w) for w in df[k, 0].keys() | df[k, 1].keys()}
+        for (f, y), found in families.items():
+            if f % FOLDS == k:
+                seen[y].update({cells[w] for w in found})
+        scorers.append((scorer, cells))
+    weights = {}
+    for c in seen[0].keys() | seen[1].keys():
+        weights[c] = math.log((seen[1][c] + 1) / (seen[0][c] / size[0] * size[1] + 1))
+    for scorer, cells in scorers:
+        scorer.update({w: weights[c] for w, c in cells.items()})
+    x = np.array([scorers[_family(found) % FOLDS][0].features(found) for found, _ in rows])
+    model = _model(total[1], size[1], total[0], size[0], whole, dictionary_words, ordinary_words)
+    model.weights = weights
+    model.coef = _logistic(x, np.array([y for _, y in rows], float)).tolist()
+    return model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
