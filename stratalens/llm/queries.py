@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, fingerprints, media, neardup, packing, toxicity
+from . import bitpack, fingerprints, html, media, neardup, packing, pii, toxicity
 from .common import stored, table
 
 
@@ -18,6 +18,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, training=f"NOT ({HELD_OUT})")
@@ -33,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = stored(bitpack.write_shards(table(spark, sf_dir, "documents")), "shards")
     return bitpack.read_documents(shards)
@@ -43,7 +51,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_toxicity, op5_neardup, op7_packing, op9_bitpack, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op5_neardup, op7_packing, op8_pii, op9_bitpack, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
