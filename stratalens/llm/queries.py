@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, fingerprints, html, media, neardup, packing, pii, toxicity
+from . import bitpack, fingerprints, html, licenses, media, mixing, neardup, packing, pii, toxicity
 from .common import stored, table
 
 
@@ -29,10 +29,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op5_neardup, op7_packing, op8_pii, op9_bitpack, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_neardup, op6_licenses, op7_packing, op8_pii, op9_bitpack, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
