@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,56 +139,80 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-#: Equal positions of 64 that a pair must have to be verified: 38 expects 54.4 at the threshold and is 5.7 deviations below.
-LIKELY = 38
+#: Equal positions of 64 that a pair must have to be verified; 54.4 are expected at the threshold, and this is 4.3 deviations below.
+LIKELY = 42
 
 
-def _likely(sigs: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
-    """Which of the rows before i may be linked with row i."""
-    fits = 100 * np.minimum(sizes[:i], sizes[i]) >= PERCENT * np.maximum(sizes[:i], sizes[i])
-    fits[fits] = (sigs[:i][fits] == sigs[i]).sum(axis=1) >= LIKELY
-    return fits
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by task, cut where a task ends; a table holds whole tasks."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        task = rows["task"].to_numpy()
+        cut = int(np.flatnonzero(task == task[-1])[0]) if len(task) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
 
 
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+def _signatures(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(rows.num_rows, POSITIONS)
+
+
+def _near_pairs(task: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs within tasks (sorted), between components: rows at distance 1, at distance 2, and so on."""
+    for d in range(1, len(task)):
+        i = np.flatnonzero(task[d:] == task[:-d])
+        if not len(i):
+            return
+        i = i[comp[i] != comp[i + d]]
+        i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= PERCENT * np.maximum(sizes[i], sizes[i + d])]
+        if len(i) and len(i := i[(sigs[i] == sigs[i + d]).sum(axis=1) >= LIKELY]):
+            yield i, i + d
+
+
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a task with a likely partner in another component."""
-    sigs, sizes = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), POSITIONS), pdf["n"].to_numpy()
-    comp = pd.factorize(pdf["comp"])[0]
-    hit = np.zeros(len(pdf), bool)
-    for i in range(1, len(pdf)):
-        near = np.flatnonzero(_likely(sigs, sizes, i) & (comp[:i] != comp[i]))
-        if len(near):
-            hit[near] = hit[i] = True
-    return pdf.loc[hit, ["task", "key", "did", "comp"]]
-
-
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Verified links of a task between components: (a, b), a spanning forest with b the least component of each tree."""
-    pdf = pdf.drop_duplicates("key")
-    sigs, sizes = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), POSITIONS), pdf["n"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-    comps = pdf["comp"].tolist()
-    parent = {c: c for c in comps}
-
-    def top(c):
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    for i in range(1, len(pdf)):
-        for j in np.flatnonzero(_likely(sigs, sizes, i)):
-            a, b = top(comps[i]), top(comps[j])
-            if a != b and _linked(sets[i], sets[j]):
-                parent[max(a, b)] = min(a, b)
-    found = [(c, top(c)) for c in parent if top(c) != c]
-    return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]})
+    for rows in _groups(batches):
+        comp = np.unique(np.array(rows["comp"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+        hit = np.zeros(rows.num_rows, bool)
+        for i, j in _near_pairs(rows["task"].to_numpy(), comp, rows["n"].to_numpy(), _signatures(rows)):
+            hit[i] = hit[j] = True
+        yield from rows.select(["task", "key", "did", "comp"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+
+def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of tasks between components: (a, b), per task a spanning forest with b the least component of each tree."""
+    for rows in _groups(batches):
+        task, comps = rows["task"].to_numpy(), rows["comp"].to_pylist()
+        numbered = np.unique(np.array(comps, dtype="S16"), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+        parent: dict[tuple[int, bytes], bytes] = {}
+
+        def top(t, c):
+            while (up := parent.get((t, c), c)) != c:
+                c = up
+            return c
+
+        for first, second in _near_pairs(task, numbered, rows["n"].to_numpy(), _signatures(rows)):
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                t = int(task[i])
+                a, b = top(t, comps[i]), top(t, comps[j])
+                if a != b and _linked(sets[i], sets[j]):
+                    parent[t, max(a, b)] = min(a, b)
+        found = sorted({(c, top(t, c)) for t, c in parent})
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def _resolve(tasks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of tasks (task, key, did, n, sig, comp)."""
-    few = stored(tasks.groupBy("task").applyInPandas(_candidates, "task long, key binary, did long, comp binary"), "candidates")
+    """Links of tasks (task, key, did, n, sig, comp): a task's rows meet in one partition, many tasks to a batch."""
+    together = lambda d: d.repartition("task").sortWithinPartitions("task", "key")
+    slim = together(tasks.select("task", "key", "did", "n", "sig", "comp"))
+    few = stored(slim.mapInArrow(_candidates, "task long, key binary, did long, comp binary"), "candidates")
     own = join_small(sets, few, ["key", "did"], "inner", FEW).select("task", "key", "n", "sig", "set", "comp")
-    return own.groupBy("task").applyInPandas(_links, "a binary, b binary")
+    return together(own).mapInArrow(_links, "a binary, b binary")
 
 
 def _branch(rows: DataFrame, own: str, trees: list[int] | None = None) -> DataFrame:
