@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare, connect
 
-from stratalens.plans.registry import ORACLES, QUERIES
+from stratalens.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
