@@ -69,13 +69,13 @@ def cross_language_route_drift(spark, sf_dir):
     return drift.route_drift(c.where("page_id % 2 = 1"), c.where("page_id % 2 = 0").select("method", "route").distinct())
 
 
-@query("""WITH l AS (SELECT p_brand AS name, list(DISTINCT p_type) AS v FROM part WHERE p_size < 30 GROUP BY 1), r AS (SELECT p_brand AS name, list(DISTINCT p_type) AS v FROM part WHERE p_size >= 30 GROUP BY 1),
+@query("""WITH l AS (SELECT p_brand AS name, list(DISTINCT p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), r AS (SELECT p_brand AS name, list(DISTINCT p_size) AS v FROM part WHERE p_partkey % 2 = 1 GROUP BY 1),
 j AS (SELECT name, len(list_intersect(l.v, r.v)) AS shared, len(l.v) AS a, len(r.v) AS b FROM l JOIN r USING (name))
 SELECT name, shared, a-shared AS only_left, b-shared AS only_right, CASE WHEN a > shared AND b > shared THEN 'high' ELSE 'medium' END AS severity FROM j WHERE shared*2 >= least(a, b) AND (a > shared OR b > shared)""")
 def cross_language_type_drift(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    side = lambda cond: p.where(cond).groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("values"))
-    return longs(drift.type_drift(side("p_size < 30"), side("p_size >= 30")))
+    side = lambda cond: p.where(cond).groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_size").alias("values"))
+    return longs(drift.type_drift(side("p_partkey % 2 = 0"), side("p_partkey % 2 = 1")))
 
 
 @query("""WITH r AS (SELECT DISTINCT p_brand || '/' || p_type AS route, p_brand AS root, p_type FROM part), t AS (SELECT route, root, unnest(list_distinct(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'))) AS t FROM r)
@@ -85,11 +85,11 @@ def parallel_destination(spark, sf_dir):
     return drift.parallel_destinations(routes.select("route", "root", F.split(F.lower("p_type"), "[^a-z0-9]+").alias("tokens")), least=1)
 
 
-@query("""WITH d AS (SELECT DISTINCT l_suppkey AS file, CAST(l_partkey % 50 AS VARCHAR) AS package FROM lineitem), m AS (SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS package FROM part WHERE p_size > 45)
+@query("""WITH d AS (SELECT DISTINCT l_suppkey AS file, CAST(l_partkey % 50 AS VARCHAR) AS package FROM lineitem), m AS (SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS package FROM part WHERE p_size > 48)
 SELECT 'pkg/' || CAST(file AS VARCHAR) || '/m.py' AS file, package FROM d WHERE package NOT IN (SELECT package FROM m)""")
 def dependency_provenance_gap(spark, sf_dir):
     imports = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("pkg/"), F.col("l_suppkey").cast("string"), F.lit("/m.py")).alias("file"), (F.col("l_partkey") % 50).cast("string").alias("package")).distinct()
-    declared = table(spark, sf_dir, "part").where("p_size > 45").select(F.lit("pkg").alias("dir"), (F.col("p_partkey") % 50).cast("string").alias("package")).distinct()
+    declared = table(spark, sf_dir, "part").where("p_size > 48").select(F.lit("pkg").alias("dir"), (F.col("p_partkey") % 50).cast("string").alias("package")).distinct()
     return drift.undeclared(imports, declared)
 
 
