@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalens.llm import mixing, neardup, packing, pii, toxicity
 from stratalens.llm.common import stored, table
+from stratalens.llm.queries import HELD_OUT
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under the threshold; the model is fitted on the labelled documents of the input table."""
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents with a toxicity score under the threshold; the model is that of op3_toxicity, so held-out labels stay unseen."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training=f"NOT ({HELD_OUT})")
     return toxicity.add_scores(docs, model, out="_score").where(f"_score < {toxicity.THRESHOLD}").select(COLUMNS)
 
 

@@ -5,6 +5,7 @@ import re
 import corpus_pipeline as cp
 from stratalens.llm import neardup, pii, toxicity
 from stratalens.llm.common import stored, table
+from stratalens.llm.queries import HELD_OUT
 
 DATA = "/root/testdata/sf0.01"
 
@@ -19,7 +20,7 @@ def test_stages(spark):
     start = table(spark, DATA, "documents")
     labels = table(spark, DATA, "labels")
     clean = {r.doc_id for r in results["toxicity"].collect()}
-    scored = toxicity.add_scores(start, toxicity.train(start, labels)).collect()
+    scored = toxicity.add_scores(start, toxicity.train(start, labels, training=f"NOT ({HELD_OUT})")).collect()
     assert clean == {r.doc_id for r in scored if r.score < 0.7}
     gone = {r.doc_id for r in start.collect()} - clean
     wrong = labels.where("toxic = 0").where(labels.doc_id.isin(list(gone))).count()
