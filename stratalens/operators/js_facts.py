@@ -62,6 +62,24 @@ def _closing(code: list[tuple[str, str, int]], i: int) -> int:
     return len(code) - 1
 
 
+def _named_at(code: list[tuple[str, str, int]], j: int) -> int:
+    """Walking back from j over an arrow function's parameters: the index of the mark that gives it a name, or 0."""
+    depth = 0
+    for k in range(j, 0, -1):
+        kind, text, _ = code[k]
+        if kind != "mark":
+            continue
+        if text in ")]}":
+            depth += 1
+        elif depth:
+            depth -= text in "([{"
+        elif text in "=:" and code[k - 1][0] == "name":
+            return k
+        elif text in "([{;,=":
+            return 0
+    return 0
+
+
 def of_source(file: str, source: str | None) -> list[tuple]:
     every = tokens(source or "")
     code = [t for t in every if t[0] != "comment"]
@@ -81,21 +99,22 @@ def of_source(file: str, source: str | None) -> list[tuple]:
                     k -= 1
                 name = texts[k - 1] if k > 0 and code[k - 1][0] == "name" else ""
             else:
-                k = max((j for j in range(max(0, i - 60), i) if texts[j] in ("=", ":") and j and code[j - 1][0] == "name"), default=0)
+                k = _named_at(code, i - 2)
                 name = texts[k - 1] if k else ""
             if name in _KEYWORDS - {"function", "get", "set"}:
                 continue
             end = _closing(code, i)
             name = "" if name == "function" else name
             spans.append((i, end, name))
-            add("function", name, code[max(0, k - 1)][2], code[end][2], end - i)
+            add("function", name, code[k - 1 if k > 0 else i][2], code[end][2], end - i)
             if end - i >= 2:
                 seen: dict[str, int] = {}
                 body = code[i : end + 1]
                 shape = [f"${seen.setdefault(t, len(seen))}" if k == "name" and t not in _KEYWORDS else k if k in ("string", "number", "template") else t for k, t, _ in body]
                 digest = lambda xs: hashlib.sha1(" ".join(xs).encode("utf-8", "replace")).hexdigest()
                 add("clone", digest(shape), code[i][2], code[end][2], len(body), None, digest([t for _, t, _ in body]), name)
-    owner_of = lambda i: next((n for a, b, n in sorted(spans, key=lambda s: s[1] - s[0]) if a <= i <= b), "")
+    smallest = sorted(spans, key=lambda s: s[1] - s[0])
+    owner_of = lambda i: next((n for a, b, n in smallest if a <= i <= b), "")
     for i, (kind, text, line) in enumerate(code):
         after = texts[i + 1 : i + 8]
         before = texts[max(0, i - 3) : i]
