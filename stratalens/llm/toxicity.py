@@ -112,7 +112,8 @@ def fit(texts: Iterable[str | None], toxic: Iterable[int], dictionary_words: int
     Near copies form a family (see _family) and count once. The cells are calibrated on FOLDS
     folds of families, each against dictionaries of the other folds; then all make the dictionaries.
     """
-    rows = [(words(t), int(y)) for t, y in zip(texts, toxic, strict=True)]
+    same: dict[str, str] = {}  # one string object per distinct word
+    rows = [([same.setdefault(w, w) for w in words(t)], int(y)) for t, y in zip(texts, toxic, strict=True)]
     families: dict[tuple[int, int], Counter] = {}
     for found, y in rows:
         families.setdefault((_family(found), y), Counter()).update(found)
@@ -172,8 +173,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, t
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, training: str = "true") -> Model:
-    rows = sorted(training_rows(docs, labels, per_class, training).toLocalIterator(), key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    rows = sorted(training_rows(docs, labels, per_class, training).toLocalIterator(), key=lambda r: r.doc_id, reverse=True)
+    toxic = [r.toxic for r in reversed(rows)]
+    return fit((rows.pop().text for _ in toxic), toxic)  # a text is let go once its words are taken
 
 
 def add_scores(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
