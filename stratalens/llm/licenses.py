@@ -3,7 +3,8 @@
 A file's headers are its lines: every line's term vector is compared with the templates by
 cosine, weights being tf * idf. idf counts the templates that hold a term, so terms outside
 the templates weigh what a term of one template does, and a line's own length lowers its
-cosine. The best line above `threshold` names the file's license. Vectors live within the row:
+cosine. The best line above `threshold` names the file's license. A line is skipped only if its
+template terms cannot reach `threshold`, whatever their counts. Vectors live within the row:
 nothing is exploded or shuffled, since the templates are a constant of this module.
 
 A file named like a license file (LICENSE, COPYING, NOTICE), or whose lines are mostly license
@@ -24,6 +25,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 THRESHOLD = 0.6
 #: A file licenses its directory if this share of its lines is license text.
 MOSTLY = 0.5
@@ -57,42 +60,75 @@ def vectors(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, dict[str,
     return out, idf, math.log((1 + len(terms)) / 2) + 1
 
 
-def _line_best(line: Column, templates: dict[str, str]) -> Column:
-    """struct(cosine, template) of a line's nearest template."""
-    units, idf, other = vectors(templates)
+def _tokens(line: Column) -> Column:
+    return F.split(line, "[^a-z0-9]+")
+
+
+def _rows(templates: dict[str, str]) -> tuple[list[str], Column]:
+    """(template names, map from term to its idf and its weight in each template)."""
+    units, idf, _ = vectors(templates)
     names = list(units)
-    table = F.create_map(*[x for t in idf for x in (F.lit(t), F.array(F.lit(idf[t]), *[F.lit(units[n].get(t, 0.0)) for n in names]))])
-    zero = F.array(*[F.lit(0.0)] * (len(names) + 1))
-    tokens = F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda t: t != "")
+    return names, F.create_map(*[x for t in idf for x in (F.lit(t), F.array(F.lit(idf[t]), *[F.lit(units[n].get(t, 0.0)) for n in names]))])
 
-    def of_tokens(words: Column) -> Column:
-        # tf * idf = the sum of idf over a term's occurrences; the squared length needs the terms' counts
-        distinct = F.array_distinct(words)
 
+def _found(line: Column, templates: dict[str, str]) -> Column:
+    """The template terms of a lower-case line, once each."""
+    return F.array_intersect(_tokens(line), F.array(*[F.lit(t) for t in vectors(templates)[1]]))
+
+
+def _may_reach(line: Column, templates: dict[str, str], threshold: float) -> Column:
+    """False only if no cosine can reach the threshold: by Cauchy-Schwarz it is at most the length of a template's unit vector on the line's terms."""
+    names, rows = _rows(templates)
+    zero = F.array(*[F.lit(0.0)] * len(names))
+
+    def add(acc, t):
+        # the weights are constants of the row: the first entry is the idf
+        return F.zip_with(acc, F.slice(rows[t], 2, len(names)), lambda a, w: a + w * w)
+
+    return F.array_max(F.aggregate(_found(line, templates), zero, add)) >= max(threshold, 0.0) ** 2 - 1e-9
+
+
+def _line_best(line: Column, templates: dict[str, str]) -> Column:
+    """struct(cosine, template) of a lower-case line's nearest template."""
+    other = vectors(templates)[2]
+    names, rows = _rows(templates)
+    zero = F.array(*[F.lit(0.0)] * (len(names) + 2))
+
+    def of_tokens(words: Column) -> Column:
+        # [squared length, squared counts, dot products] over the template terms
         def add(acc, t):
-            n = F.size(F.filter(words, lambda w: w == t)).cast("double")
-            row = F.try_element_at(table, t)
-            own = n * F.coalesce(row[0], F.lit(other))
-            dots = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: acc[i] + F.coalesce(own * row[i], F.lit(0.0)))
-            return F.concat(F.array(acc[0] + own * own), dots)
+            n = (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+            row = rows[t]
+            own = n * row[0]
+            dots = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: acc[i + 1] + own * row[i])
+            return F.concat(F.array(acc[0] + own * own, acc[1] + n * n), dots)
+
+        sums = F.aggregate(F.array_intersect(words, F.array(*[F.lit(t) for t in vectors(templates)[1]])), zero, add)
+
+        # the squared counts of all terms: the n-th of equal words, side by side when sorted, adds n^2 - (n - 1)^2
+        def step(acc, w):
+            n = F.when(acc["w"] == w, acc["n"] + 1.0).otherwise(F.lit(1.0))
+            return F.struct(w.alias("w"), n.alias("n"), (acc["total"] + 2.0 * n - 1.0).alias("total"))
+
+        none = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+        squares = F.aggregate(F.sort_array(words), none, step, lambda acc: acc["total"])
+
+        def of_sums(x: Column) -> Column:
+            size = F.sqrt(x["sums"][0] + (x["squares"] - x["sums"][1]) * (other * other))
+            scored = [F.struct(F.coalesce(F.try_divide(x["sums"][i + 2], size), F.lit(0.0)).alias("cosine"), F.lit(n).alias("license")) for i, n in enumerate(names)]
+            return F.greatest(*scored)
 
-        sums = F.aggregate(distinct, zero, add)
-        scored = [F.struct((sums[i + 1] / F.sqrt(sums[0])).alias("cosine"), F.lit(n).alias("license")) for i, n in enumerate(names)]
-        return F.greatest(*scored)
+        return F.transform(F.array(F.struct(sums.alias("sums"), squares.alias("squares"))), of_sums)[0]
 
-    return F.transform(F.array(tokens), of_tokens)[0]
+    return F.transform(F.array(F.array_remove(_tokens(line), "")), of_tokens)[0]
 
 
 def scan(files: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """`files` with _own (struct cosine, license; null: none) and _share, the share of nonblank lines that are license text."""
-    idf = vectors(templates)[1]
-    # a cosine above the threshold needs one of the terms that say license
-    telling = [t for t in ("license", "licensed", "licence", "redistribution", "permission", "reserved", "redistribute") if t in idf]
-    marks = "(?i)" + "|".join(telling)
-    # lines without a telling term cannot be near any template: each holds one
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    hit = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(marks) | x.rlike(r"(?i)\bcc by\b")), lambda x: _line_best(x, templates)), lambda s: s["cosine"] >= threshold)
-    d = files.withColumn("_hits", F.when(F.col(text).rlike(marks + r"|\bcc by\b"), hit))
+    lines = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    # lines that are skipped here cannot reach the threshold whatever else they hold
+    near = F.filter(lines, lambda x: _may_reach(x, templates, threshold))
+    d = files.withColumn("_hits", F.filter(F.transform(near, lambda x: _line_best(x, templates)), lambda s: s["cosine"] >= threshold))
     best = F.array_max("_hits")
     share = F.coalesce(F.size("_hits") / F.greatest(F.size(lines), F.lit(1)), F.lit(0.0))
     return d.withColumn("_own", best).withColumn("_share", F.when(best.isNotNull(), share).otherwise(0.0)).drop("_hits")
@@ -130,4 +166,4 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, path, license, cosine, origin, license_dir."""
-    return inherit(scan(document_paths(docs)).drop("text")).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "license_dir")
+    return inherit(stored(scan(document_paths(docs)).drop("text"), "scanned")).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "license_dir")

@@ -1,6 +1,7 @@
 """License scan against plain Python, and inheritance along paths."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -50,3 +51,29 @@ def test_whole_table(spark, data):
         best = max((nearest(x) for x in r.text.split("\n") if re.search("licen[cs]e|licensed|redistribut|permission|reserved", x, re.I) and x.strip()), default=(0, ""))
         assert (got[r.doc_id].origin == "own") == (best[0] >= licenses.THRESHOLD)
     assert licenses.report(docs.limit(0)).count() == 0
+
+
+#: Near a template without any of the words license, licensed, redistribution, permission, reserved, redistribute, cc by.
+UNNAMED = ["Unauthorized copying of this file, via any medium is strictly prohibited", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential", "Released under the MIT licence.", "with or without modification, are permitted provided that the following conditions are met:"]
+
+
+def test_every_line_counts(spark):
+    rng = random.Random(4)
+    terms = sorted(licenses.vectors()[1])
+    lines = UNNAMED + ["-----", "mit der", "the the the of"]
+    for _ in range(600):  # runs of template words among other words, some many times
+        words = rng.choice(list(licenses.TEMPLATES.values())).split()
+        at = rng.randrange(len(words))
+        line = words[at : at + rng.randrange(1, 30)] + [rng.choice(["x", "y", "z", rng.choice(terms)]) for _ in range(rng.randrange(12))] * rng.choice([1, 1, 3])
+        rng.shuffle(line)
+        lines.append(" ".join(line))
+    got = {r.doc_id: r._own for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    hits = 0
+    for i, line in enumerate(lines):
+        cosine, name = nearest(line) if re.search("[a-z0-9]", line) else (0.0, "")
+        assert (got[i] is not None) == (cosine >= licenses.THRESHOLD), line
+        if got[i]:
+            hits += 1
+            assert abs(got[i].cosine - cosine) < 1e-9 and abs(nearest(line)[0] - got[i].cosine) < 1e-9
+    assert all(got[i] for i in range(len(UNNAMED))) and 50 < hits < len(lines) - 50
+    assert got[2].license == "MIT (short)" and got[0].license == got[1].license == "Proprietary" and got[3].license == "BSD-3-Clause"
