@@ -7,7 +7,7 @@ text, whole: the same article on two pages stays on both.
 
 Pages without such a mark go through their host's suffix array: the token streams of a host's
 pages stand one after another, and equal substrings of RUN tokens or more on PAGES or more
-distinct pages are boilerplate. Covered tokens go, unique runs stay. The array is kept to the
+distinct pages are boilerplate; rows of equal tokens are one page, so copies of a page stay whole. Covered tokens go, unique runs stay. The array is kept to the
 suffixes' first RUN tokens, which is what decides coverage, and is spread over the cluster by
 (host, prefix): equal prefixes, neighbours in the array, meet by a shuffle with partial counts,
 so a host with a third of all pages is no single task's work.
@@ -157,11 +157,12 @@ def remove_repeats(rows: DataFrame, run: int = RUN, pages: int = PAGES) -> DataF
         for pdf in batches:
             found = [np.unique(_prefixes(t, run)) for t in pdf["text"]]
             n = [len(f) for f in found]
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "host": np.repeat(pdf["host"].to_numpy(), n), "h": np.concatenate([*found, np.zeros(0, np.int64)])})
+            page = np.array([xxhash.xxh3_64_intdigest("\n".join((t or "").split())) for t in pdf["text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "host": np.repeat(pdf["host"].to_numpy(), n), "h": np.concatenate([*found, np.zeros(0, np.int64)]), "page": np.repeat(page, n)})
 
-    array = rows.mapInPandas(suffixes, "id long, host string, h long")
-    repeated = array.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= pages).select("host", "h")
-    covered = array.join(repeated, ["host", "h"]).groupBy("id").agg(F.collect_set("h").alias("hs"))  # at most a page's own suffixes
+    array = rows.mapInPandas(suffixes, "id long, host string, h long, page long")
+    repeated = array.groupBy("host", "h").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= pages).select("host", "h")
+    covered = array.select("id", "host", "h").join(repeated, ["host", "h"]).groupBy("id").agg(F.collect_set("h").alias("hs"))  # at most a page's own suffixes
 
     @F.pandas_udf("string")
     def without(text, hs):

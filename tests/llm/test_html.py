@@ -63,3 +63,21 @@ def test_odd_rows(spark):
     assert sorted(r.text for r in got if r.page_id and r.page_id >= 10) == [str(i) for i in range(5)]  # "own text" stands in repeated runs
     assert [r.text for r in got if r.page_id is None or r.page_id == 1] == ["", ""]
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_stay(spark):
+    one = " ".join(f"w{i}" for i in range(30))
+    menu = "home news about contact terms privacy help imprint jobs "
+    rows = [(i, "http://a.b/" + str(i), f"<body><p>{one}</p>") for i in range(3)] + [(9, "http://a.b/0", f"<body><p>{one}</p>")] * 2
+    rows += [(20 + i, None, f"<body><div>{one}</div>") for i in range(4)]  # hosts unknown
+    rows += [(30 + i // 2, "http://c.d/" + str(i), f"<body><p>{menu}</p><p>own{i // 2}</p>") for i in range(6)]  # three pages, each twice
+    rows += [(40 + i // 2, "http://e.f/" + str(i), f"<body><p>{menu}</p><p>own{i // 2}</p>") for i in range(4)]  # two pages, each twice
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id < 30:
+            assert r.text == one and r.n_chars == len(one)
+        elif r.page_id < 40:
+            assert r.text == f"own{r.page_id - 30}"
+        else:
+            assert r.text == menu.strip() + f"\nown{r.page_id - 40}"
