@@ -3,7 +3,9 @@
 A page is cut into blocks of text in page order. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out by their elements, roles and
 class names. If the page marks its main part (article, main, role=main), the blocks in it are the
-text, whole: the same article on two pages stays on both.
+text, whole: the same article on two pages stays on both. A class or id counts by whole names. It
+leaves out no element that holds the main element, and none that holds an article unless an article
+stands elsewhere or the rest has at least as much text (comments and teasers can be articles too).
 
 Pages without such a mark go through their host's suffix array: the token streams of a host's
 pages stand one after another, and equal substrings of RUN tokens or more on PAGES or more
@@ -42,40 +44,67 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _OUT = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "object", "audio", "video", "canvas"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|sidebar|widget|footer|masthead|topbar|site-?header|page-?header|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|toc)(?:$|[\s_-])", re.I)
+_NAME = r"(?:ad|advert[a-z]*|sponsor[a-z]*|promo|promos|promotion[a-z]*|banner|cookie|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|menu|nav|navbar|navigation|breadcrumb|pagination|pager|sidebar|widget|footer|masthead|topbar|site-?header|page-?header|comment|disqus|replies|respond|share|sharing|social|related|recommend[a-z]*|toc)s?"
+#: Parts that place or hold what such a name says; with any other part (has-sidebar, promo-free, share-price) a name says something else.
+_PLACE = r"(?:wrap|wrapper|container|holder|box|bar|area|section|block|panel|pane|list|item|link|button|btn|icon|group|row|column|col|inner|outer|top|bottom|left|right|side|primary|secondary|main|global|mega|sub|dropdown|site|page|post|entry|article|user|reader|email|media|header|head|title|form|slot|unit|zone|frame|story|stories|news|tool|law|info|mobile|desktop|sticky|fixed|floating|small|large|this|\d+(?:x\d+)?)s?"
+_NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}))*(?=$|\s)", re.I)
 _CLOSES_P = _BLOCK - {"body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 MARKED = r"(?i)<(?:article|main)[\s>/]|role\s*=\s*[\"']?main"
 
 
-def _unwanted(name: str, rest: str) -> bool:
+def _unwanted(name: str, rest: str) -> int:
+    """2: out by element, role or attribute; 1: by class or id; 0: wanted."""
     if name in _OUT:
-        return True
+        return 2
     if not rest or rest.isspace():
-        return False
+        return 0
+    named = 0
     for m in _ATTR.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMES.search(value):
-            return True
-    return False
+            named = 1
+    return named
 
 
 def blocks(page: str | None) -> tuple[bool, list[str]]:
     """(whether the main part is marked, the text blocks of it or else of the page), without unwanted elements."""
+    marked, found, articles, main_in, article_in = _parse(page, set())
+    if main_in:
+        marked, found, articles, _, article_in = _parse(page, main_in)
+    if article_in and articles is None:
+        with_article = _parse(page, main_in | article_in)
+        if with_article[2] > sum(map(len, found)):
+            return with_article[:2]
+    return marked, found
+
+
+def _parse(page: str | None, kept: set[int]) -> tuple[bool, list[str], int | None, set[int], set[int]]:
+    """(marked, blocks, characters in articles or None without one, and the starts of elements left out by class or id that hold a main element, an article).
+
+    Elements that start at `kept` are not left out by class or id.
+    """
     main: list[str] = []
     every: list[str] = []
     text: list[str] = []
     stack: list[str] = []
     out_at, main_at, marked = 0, 0, False  # depths at which an unwanted and the main element opened
+    hard_at, article_at, articles = 0, 0, None
+    named: list[tuple[int, int]] = []  # depth and start of open elements left out by class or id
+    main_in: set[int] = set()
+    article_in: set[int] = set()
     raw = ""
 
     def flush():
+        nonlocal articles
         if text:
             if block := _SPACE.sub(" ", references.unescape("".join(text))).strip():
                 every.append(block)
                 if main_at:
                     main.append(block)
+                if article_at:
+                    articles += len(block)
             text.clear()
 
     for m in _TOKEN.finditer(page or ""):
@@ -114,6 +143,12 @@ def blocks(page: str | None) -> tuple[bool, list[str]]:
                         out_at = 0
                     if len(stack) < main_at:
                         main_at = 0
+                    if len(stack) < hard_at:
+                        hard_at = 0
+                    if len(stack) < article_at:
+                        article_at = 0
+                    if named and len(stack) < named[-1][0]:
+                        named.pop()
                     if last == name:
                         break
             continue
@@ -121,13 +156,31 @@ def blocks(page: str | None) -> tuple[bool, list[str]]:
             at = len(stack) - 1 - stack[::-1].index("p")
             if not any(x in _BLOCK for x in stack[at + 1 :]) and at + 1 > out_at and at + 1 > main_at:
                 del stack[at:]
+                if len(stack) < hard_at:
+                    hard_at = 0
+                while named and len(stack) < named[-1][0]:
+                    named.pop()
         stack.append(name)
-        if not out_at and _unwanted(name, rest):
-            out_at = len(stack)
-        elif not out_at and not main_at and (name in ("article", "main") or re.search(r"(?i)\brole\s*=\s*[\"']?main\b", rest)):
-            main_at, marked = len(stack), True
+        if hard_at:
+            continue
+        is_main = name == "main" or re.search(r"(?i)\brole\s*=\s*[\"']?main\b", rest) is not None
+        why = _unwanted(name, rest)
+        if why == 2:
+            hard_at = len(stack)
+            out_at = out_at or hard_at
+        elif why and not is_main and m.start() not in kept:
+            named.append((len(stack), m.start()))
+            out_at = out_at or len(stack)
+        elif is_main or name == "article":
+            if out_at:
+                (main_in if is_main else article_in).update(start for _, start in named)
+                continue
+            if not main_at:
+                main_at, marked = len(stack), True
+            if name == "article" and not article_at:
+                article_at, articles = len(stack), articles or 0
     flush()
-    return marked, main if marked else every
+    return marked, main if marked else every, articles, main_in, article_in
 
 
 _FIELDS = "page_id long, url string, text string, n_chars long"

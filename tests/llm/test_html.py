@@ -81,3 +81,24 @@ def test_copies_of_a_page_stay(spark):
             assert r.text == f"own{r.page_id - 30}"
         else:
             assert r.text == menu.strip() + f"\nown{r.page_id - 40}"
+
+
+def test_names_of_layouts():
+    for name in ("layout has-sidebar", "no-sidebar", "with-sidebar", "comments-open", "promo-free", "menu-open", "sidebar", "page widget-area", "content-sidebar-wrap"):
+        for inner in ("<main><article><p>Text</p></article></main>", "<main><p>Text</p></main>", "<article><p>Text</p></article>", "<div role=main><p>Text</p></div>", "<div role='main' class='sidebar'>Text</div>"):
+            for page in (f"<body><div class='{name}'>{inner}</div></body>", f"<header>h</header><a>Go</a><section id='x' class='{name}'><div class='modal'>{inner}</div><div class='ads'>Buy</div></section>"):
+                assert html.blocks(page) == (True, ["Text"]), page
+        assert html.blocks(f"<article><p>A</p><div class='{name}'>b</div></article>")[1] == (["A"] if name in ("sidebar", "page widget-area") else ["A", "b"])
+    for name in ("share-price", "related-work", "social-history", "notice-of-meeting", "subscription-model"):
+        assert html.blocks(f"<main><p id='{name}'>Text</p></main>") == (True, ["Text"])
+    for name in ("ad", "ads", "ad-300x250", "cookie_notice", "site-header", "main-menu", "footer-widgets", "share-buttons big", "comment-list", "related-posts", "sidebar__inner", "breadcrumbs"):
+        assert html.blocks(f"<main><p>Text</p><div class='{name}'>out</div></main>") == (True, ["Text"]), name
+
+
+def test_articles_that_are_not_the_text():
+    said = "<div id='comments'><article>I agree</article><article>So do I</article></div>"
+    assert html.blocks("<body><div><p>The text of the page itself.</p></div>" + said) == (False, ["The text of the page itself."])
+    assert html.blocks("<main><p>The text of the page itself.</p>" + said + "</main>") == (True, ["The text of the page itself."])
+    assert html.blocks("<article>Short</article>" + said) == (True, ["Short"])
+    assert html.blocks("<div class='sidebar'><nav><main>no</main></nav></div><p>yes") == (False, ["yes"])
+    assert html.blocks("<main><h1>Title</h1><div class='sidebar'><article>The whole article is here.</article></div></main>") == (True, ["Title", "The whole article is here."])
