@@ -3,10 +3,12 @@
 A classifier trained on the labelled table gives every document posterior weights over domains:
 its language where labelled good, or "junk" where labelled bad. Nonnegative rates per document
 (how often it is taken) are fitted so that the expected tokens of each domain, the sum of rate *
-tokens * posterior, meet their targets: projected gradient on the least squares of the relative
-misses, from rate 1, each step one distributed sum. A rate depends on the posteriors alone, so
-documents are first summed into cells of posteriors in steps of 1 / STEPS; their number is
-bounded by the grid, not by the table. A fitted rate is a fold over the steps' gradients.
+tokens * posterior, meet their targets with the least change from rate 1 (squares, by tokens).
+Such rates are max(0, 1 + posteriors * multipliers), so Newton steps on one multiplier per domain
+find them, each from one distributed sum. A rate depends on the posteriors alone, so documents
+are first summed into cells of posteriors in steps of 1 / STEPS; their number is bounded by the
+grid, not by the table. Targets that no nonnegative rates reach are met with least squares of the
+relative misses, and a warning names them.
 
 Targets are shares. By default they are the natural shares to the power ALPHA (rare domains
 rise), and the total is the least that lowers no domain, so that mixing repeats documents and
@@ -20,6 +22,7 @@ equal doc_id and text get equal rates.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-STEPS, ALPHA, ROUNDS, CLOSE = 64, 0.7, 40, 1e-4
+STEPS, ALPHA, CLOSE = 64, 0.7, 1e-4
+#: Newton steps at most; a fit that needs more is named by the warning.
+ROUNDS = 200
+#: Weight of the multipliers against the relative misses: so small that reachable targets are met far within CLOSE.
+SOFT = 1e-8
 #: Labelled rows that the classifier is fitted on, the first by a hash of their id.
 SAMPLE = 8_000
 
@@ -114,15 +121,30 @@ def rate(q: Column, history: list[list[float]]) -> Column:
     return F.aggregate(steps, r, lambda acc, g: F.greatest(F.lit(0.0), acc - slope(g)))
 
 
-def fit_rates(cells: DataFrame, n: int, target: list[float] | None = None, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
-    """(gradients, targets, reached) for cells (_q, _tokens): the steps until every domain is within CLOSE of its target."""
+def _sums(cells: DataFrame, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(tokens by domain, Gram matrix of the posteriors with a rate above 0, sum of tokens * rate^2) at multipliers `by`."""
+    n = len(by)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n + n * n + 1)
+        for pdf in batches:
+            if len(pdf):
+                q, tokens = np.stack(pdf["_q"].to_list()).astype(float) / STEPS, pdf["_tokens"].to_numpy(float)
+                r = np.maximum(0, 1 + q @ by)
+                total += np.concatenate([(r * tokens) @ q, ((q * (tokens * (r > 0))[:, None]).T @ q).ravel(), [(tokens * r * r).sum()]])
+        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    out = np.zeros(n + n * n + 1)
+    for r in cells.select("_q", "_tokens").mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # one row per entry
+        out[r.k] = r.v
+    return out[:n], out[n:-1].reshape(n, n), out[-1]
 
-    def reached(history: list[list[float]]) -> np.ndarray:
-        own = rate(F.col("_q"), history) * F.col("_tokens") / STEPS
-        row = cells.agg(*[F.sum(own * F.col("_q")[d]).alias(f"d{d}") for d in range(n)]).first()
-        return np.array([v or 0.0 for v in row], float)
 
-    natural = reached([])
+def fit_rates(cells: DataFrame, n: int, target: list[float] | None = None, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+    """(gradients, targets, reached) for cells (_q, _tokens): until every domain is within CLOSE of its target, or as near as can be."""
+    by = np.zeros(n)
+    now, gram, squares = _sums(cells, by)
+    natural = now
     if not natural.sum():
         return [], [0.0] * n, [0.0] * n
     there = natural > 0
@@ -130,14 +152,39 @@ def fit_rates(cells: DataFrame, n: int, target: list[float] | None = None, total
     shares = np.where(there, shares, 0)
     shares = shares / shares.sum()
     goal = shares * (total if total is not None else max(e / w for e, w in zip(natural, shares, strict=True) if w))
-    history: list[list[float]] = []
-    now = natural
+    scale = np.maximum(goal, 1)
+    soft = SOFT * scale**2 / scale.sum()
+    # the dual of the least change, and its slope: tokens less their targets
+    height = lambda x, sq: sq / 2 - x @ goal + x @ (soft * x) / 2
     for _ in range(ROUNDS):
-        if np.max(np.abs(now - goal)[there] / np.maximum(goal, 1)[there]) < CLOSE:
+        if np.max(np.abs(now - goal)[there] / scale[there]) < CLOSE:
+            break
+        slope = np.where(there, now - goal + soft * by, 0)
+        if np.max(np.abs(slope) / scale) < CLOSE / 100:
             break
-        history.append(((now - goal) / np.where(there, natural, 1)).tolist())
-        now = reached(history)
-    return history, goal.tolist(), now.tolist()
+        # in relative units, so that rare domains count
+        inner = (gram + np.diag(soft)) / np.outer(scale, scale) * scale.sum()
+        step = np.linalg.lstsq(inner, slope / scale * scale.sum(), rcond=1e-15)[0] / scale
+        size, here = 1.0, height(by, squares)
+        while True:
+            found = _sums(cells, by - size * step)
+            if height(by - size * step, found[2]) <= here - 1e-4 * size * (slope @ step) or size < 1e-6:
+                break
+            size /= 2
+        if size < 1e-6:
+            break  # the height has no more digits
+        by = by - size * step
+        now, gram, squares = found
+    return ([(-by).tolist()] if by.any() else []), goal.tolist(), now.tolist()
+
+
+def _fitted(cells: DataFrame, domains: list[str], target: dict[str, float] | None, total: float | None) -> list[list[float]]:
+    """The gradients of fit_rates; warns of the targets that are not reached."""
+    history, goal, now = fit_rates(cells, len(domains), target and [target.get(d, 0.0) for d in domains], total)
+    missed = [f"{d}: {b:.0f} of {a:.0f} tokens" for d, a, b in zip(domains, goal, now, strict=True) if abs(b - a) >= CLOSE * max(a, 1)]
+    if missed:
+        warnings.warn("mixing targets not reached: " + ", ".join(missed), stacklevel=3)
+    return history
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
@@ -149,7 +196,7 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = No
         history = []
     else:
         cells = stored(scored.groupBy("_q").agg(F.sum("_tokens").cast("double").alias("_tokens")), "cells")
-        history, _, _ = fit_rates(cells, len(domains), target and [target.get(d, 0.0) for d in domains], total)
+        history = _fitted(cells, domains, target, total)
     names = F.array(*[F.lit(d) for d in domains]) if domains else F.array(F.lit("?"))
     best = F.array_position("_q", F.array_max("_q")).cast("int")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -170,7 +217,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, target: dict[str, float]
         return docs
     scored = posteriors(docs, weights)
     cells = stored(scored.groupBy("_q").agg(F.sum("_tokens").cast("double").alias("_tokens")), "cells")
-    history, _, _ = fit_rates(cells, len(domains), target and [target.get(d, 0.0) for d in domains], total)
+    history = _fitted(cells, domains, target, total)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(rate(F.col("_q"), history) + chance).cast("int")
     return scored.withColumn("_n", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)

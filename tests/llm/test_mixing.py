@@ -1,6 +1,7 @@
 """Mixing against a plain fit, its targets, and defined results for odd input."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from stratalens.llm import mixing
 
@@ -48,3 +49,35 @@ def test_odd_rows(spark):
     assert [r.rate for r in mixing.mix(docs, none).collect()] == [1.0] * 5
     assert mixing.mixed_documents(docs, none).count() == 5
     assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mixed_documents(docs.limit(0), labels).count() == 0
+
+
+def test_close_domains_reach_their_targets(spark):
+    def fit(posteriors, tokens, *more):
+        q = mixing.quantised(np.array(posteriors))
+        cells = spark.createDataFrame([(a.tolist(), float(t)) for a, t in zip(q, tokens, strict=True)], "_q array<int>, _tokens double")
+        history, goal, reached = mixing.fit_rates(cells, q.shape[1], *more)
+        r = np.ones(len(q))
+        for g in history:
+            r = np.maximum(0, r - q @ np.array(g) / mixing.STEPS)
+        assert np.allclose((r * tokens) @ q / mixing.STEPS, reached)
+        return np.array(goal), np.array(reached)
+
+    for p in ([(0.95, 0.05), (0.85, 0.15), (0.3, 0.7)], [(0.9, 0.1), (0.7, 0.3), (0.6, 0.4)]):
+        goal, reached = fit(p, [900, 90, 10])
+        assert (np.abs(reached - goal) <= mixing.CLOSE * goal).all()
+    rng = np.random.default_rng(3)
+    for k in range(3):  # targets of hidden rates, so they can be reached; many rates are 0
+        p, tokens = rng.dirichlet([2.0] * 4, 300), rng.integers(1, 900, 300)
+        want = (rng.integers(0, 3, 300) * (rng.random(300) < 0.3) * tokens) @ mixing.quantised(p) / mixing.STEPS
+        goal, reached = fit(p, tokens, (want / want.sum()).tolist(), want.sum())
+        assert (np.abs(reached - goal) <= mixing.CLOSE * goal).all()
+    # out of reach: the nearest by relative misses, here rate r of one cell with (0.5, 0.5)
+    goal, reached = fit([(0.5, 0.5)], [100], [0.25, 0.75], 100.0)
+    r = (0.5 / 0.25 + 0.5 / 0.75) / ((0.5 / 0.25) ** 2 + (0.5 / 0.75) ** 2)
+    assert np.allclose(reached, [50 * r, 50 * r], rtol=1e-3)
+
+
+def test_missed_targets_are_named(spark):
+    cells = spark.createDataFrame([([32, 32], 100.0)], "_q array<int>, _tokens double")
+    with pytest.warns(UserWarning, match="not reached: de: .* of 25 tokens, en"):
+        mixing._fitted(cells, ["de", "en"], {"de": 0.25, "en": 0.75}, 100.0)
