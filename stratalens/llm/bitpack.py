@@ -1,12 +1,12 @@
 """Fixed-width bit packing of token ids: every id takes the minimum bits of the vocabulary.
 
-A shard image is: magic, bits, documents, ids, ids per block; then the document ids, the
-cumulative ids per document and the byte offset of every block; then the packed blocks.
-Blocks start at bytes, so any of them unpacks alone, vectorised. Images are the rows of a
-Parquet table, which Spark commits whole; export() writes them as plain files.
+A shard is a file: magic, bits, ids per block, shard number, documents, ids, blocks; then the
+document ids, the cumulative ids per document and the byte offset of every block; then the
+packed blocks and a line feed. Blocks start at bytes, so any of them unpacks alone, vectorised.
 
-Order is ascending doc_id, null first; rows of equal doc_id stand by text. A null text is an
-empty one, whose only id is the end id. An empty table gives no shard.
+Order is ascending doc_id, null first; rows of equal doc_id stand by a hash of their text. A null
+text is an empty one, whose only id is the end id. An empty table gives no shard. Only doc_id and
+the text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -14,20 +14,20 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import in_arrow, join_small, stored
 from .tokens import default_path, encoder
 
-MAGIC = b"SLBP1\0\0\0"
-HEAD = struct.Struct("<8sIIQQI4x")
+MAGIC = b"SLBP2\0\0\0"
+HEAD = struct.Struct("<8sIIqQQQ")
 BLOCK_IDS = 4096
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 NO_ID = -(2**63)
 
 
@@ -47,18 +47,19 @@ def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     return (flat.reshape(n, bits).astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def image(doc_ids: list[int], counts: list[int], ids: np.ndarray, bits: int, block: int = BLOCK_IDS) -> bytes:
+def image(doc_ids: list[int], counts: list[int], ids: np.ndarray, bits: int, block: int = BLOCK_IDS, number: int = 0) -> bytes:
+    """The bytes of a shard."""
     parts = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, parts)], dtype="<u8")
-    head = HEAD.pack(MAGIC, bits, block, len(doc_ids), len(ids), len(parts))
-    return b"".join([head, np.array(doc_ids, dtype="<i8").tobytes(), np.cumsum([0, *counts], dtype="<u8").tobytes(), offsets.tobytes(), *parts])
+    head = HEAD.pack(MAGIC, bits, block, number, len(doc_ids), len(ids), len(parts))
+    return b"".join([head, np.array(doc_ids, dtype="<i8").tobytes(), np.cumsum([0, *counts], dtype="<u8").tobytes(), offsets.tobytes(), *parts, b"\n"])
 
 
 class Shard:
-    """A shard image opened for reading; nothing is unpacked until asked for."""
+    """A shard opened for reading; nothing is unpacked until asked for."""
 
     def __init__(self, data: bytes):
-        magic, self.bits, self.block, self.n_docs, self.n_ids, n_blocks = HEAD.unpack_from(data)
+        magic, self.bits, self.block, self.number, self.n_docs, self.n_ids, n_blocks = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a packed id shard")
         at = HEAD.size
@@ -66,6 +67,8 @@ class Shard:
         self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at := at + 8 * self.n_docs)
         self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, at := at + 8 * self.n_docs + 8)
         self.payload = memoryview(data)[at + 8 * n_blocks + 8 :]
+        if len(self.payload) != int(self.offsets[-1]) + 1 or self.payload[-1] != 10:
+            raise ValueError("a packed id shard is cut short")
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop-1 of the shard, from the blocks that hold them."""
@@ -80,27 +83,28 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Shards of (doc_id, text) in ascending doc_id order: shard_id long, n_docs long, n_ids long, image binary.
+    """Shards of (doc_id, text) in ascending doc_id order, a row each: image binary.
 
-    One range shuffle by doc_id; each task encodes its sorted rows and closes a shard at
-    `shard_ids` ids. shard_id ascends with doc_id.
+    One range shuffle by doc_id and a hash of the text, so rows without an id or with the same
+    one spread too; each task encodes its sorted rows and closes a shard at `shard_ids` ids. Shard
+    numbers ascend with doc_id: task << 32 | shard of the task.
     """
     path = tokenizer or default_path()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        bits, end = max(1, (enc.size - 1).bit_length()), end_id.to_bytes(enc.width, "little")
+        bits, end, width = max(1, (enc.size - 1).bit_length()), end_id.to_bytes(enc.width, "little"), enc.width
         doc_ids, counts, held, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            data = image(doc_ids, counts, np.frombuffer(b"".join(held), dtype=f"<u{enc.width}"), bits)
-            return pa.RecordBatch.from_pydict({"shard_id": pa.array([part << 32 | seq], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64()), "image": pa.array([data], pa.binary())})
+            data = image(doc_ids, counts, np.frombuffer(b"".join(held), dtype=f"<u{width}"), bits, number=part << 32 | seq)
+            return pa.RecordBatch.from_pydict({"image": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = enc.encode(text.as_py() or "") + end
-                doc_ids.append(NO_ID if (d := doc_id.as_py()) is None else d)
-                counts.append(len(got) // enc.width)
+                doc_ids.append(NO_ID if doc_id is None else doc_id)
+                counts.append(len(got) // width)
                 held.append(got)
                 n += counts[-1]
                 if n >= shard_ids:
@@ -109,38 +113,46 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
         if doc_ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(encode, "shard_id long, n_docs long, n_ids long, image binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    return in_arrow(dealt, encode, "image binary")
+
+
+def write_files(shards: DataFrame, path: str) -> None:
+    """Writes every shard as a file of its own under a new folder of any store that Spark writes.
+
+    Spark's writer commits the files whole, so a lost executor or a repeated task leaves no part
+    of one; it ends every row with the line feed that ends a shard.
+    """
+    body = F.expr("substring(image, 1, octet_length(image) - 1)").cast("string")
+    shards.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of a folder: image binary."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("content").alias("image"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """Per document, from the shard images: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit)."""
+    """Per document, from shards (image): doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit)."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard_id, data in zip(batch.column(0), batch.column(1), strict=True):
-                shard = Shard(data.as_py())
+            for data in batch.column(0):
+                if not len(data := data.as_py()):
+                    continue  # Spark's file of an empty table
+                shard = Shard(data)
                 ids = shard.ids(0, shard.n_ids).astype("<u4")
                 starts = shard.starts.astype(np.int64)
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                cuts = starts.tolist()
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 none = shard.doc_ids == NO_ID
-                yield pa.RecordBatch.from_pydict({"shard_id": pa.array([shard_id.as_py()] * shard.n_docs, pa.int64()), "doc_id": pa.array(shard.doc_ids, pa.int64(), mask=none), "local": pa.array(starts[:-1]), "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"shard_id": pa.array(np.full(shard.n_docs, shard.number)), "doc_id": pa.array(shard.doc_ids, pa.int64(), mask=none), "local": pa.array(starts[:-1]), "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
+    docs = stored(in_arrow(shards, decode, "shard_id long, doc_id long, local long, n_tokens long, ids_crc32 long"), "read")
     # Bases: sums within the shards of a task, then over tasks; no window holds more than either.
-    part = F.shiftright("shard_id", 32)
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = shards.select("shard_id", "n_ids", part.alias("p"))
+    sizes = docs.groupBy("shard_id").agg(F.sum("n_tokens").alias("n_ids")).withColumn("p", F.shiftright("shard_id", 32))
     tasks = sizes.groupBy("p").agg(F.sum("n_ids").alias("v")).select("p", before("v", Window.orderBy("p")).alias("t"))
-    bases = sizes.withColumn("s", before("n_ids", Window.partitionBy("p").orderBy("shard_id"))).join(tasks, "p").select("shard_id", (F.col("s") + F.col("t")).alias("base"))
-    docs = shards.select("shard_id", "image").mapInArrow(decode, "shard_id long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return docs.join(bases, "shard_id").select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def export(shards: DataFrame, folder: str) -> int:
-    """Writes the images as files of a local folder, one at a time; returns how many."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for row in shards.select("shard_id", "image").toLocalIterator():
-        Path(folder, f"{row.shard_id:019d}.slbp").write_bytes(row.image)
-        n += 1
-    return n
+    bases = stored(sizes.withColumn("s", before("n_ids", Window.partitionBy("p").orderBy("shard_id"))).join(tasks, "p").select("shard_id", (F.col("s") + F.col("t")).alias("base")), "bases")
+    return join_small(docs, bases, ["shard_id"], "inner").select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

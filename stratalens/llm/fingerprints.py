@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_arrow, small_batches, stored
 
 WINDOW, LETTERS, LEAST_BLOCK = 7, 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -118,6 +118,8 @@ def likeness(pairs: list[tuple[str, str]]) -> list[float]:
 def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """`df` with the fingerprint of a text column (null: of the empty text)."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def of(s):
         return s.map(lambda x: fingerprint((x or "").encode("utf-8")))
@@ -145,17 +147,18 @@ def _compared(rows: list[tuple[int | None, str, str]]) -> dict[str, list]:
     return {"doc_id": [d for d, _, _ in rows], "n_chars": [len(t) for _, t, _ in rows], "edited_sha256": [hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited], "fingerprint": own, "edited_fingerprint": new, "near_edited": near[: len(rows)], "near_next": near[len(rows) :]}
 
 
-def compare_neighbours(docs: DataFrame, batch: int = 512) -> DataFrame:
+def compare_neighbours(docs: DataFrame, batch: int = 512, chars: int = 4_000_000) -> DataFrame:
     """Fingerprints of every text, of the text edited by the next document's beginning, and the likenesses.
 
-    "Next" is by ascending doc_id (null first, ties by text), after the last the first. One range
-    shuffle by doc_id; a task walks its sorted rows and holds two. The last row of a task lacks
+    "Next" is by ascending doc_id (null first, ties by a hash of the text), after the last the first.
+    One range shuffle by both, so rows without an id or with the same one spread too; a task walks its sorted rows and holds two. The last row of a task lacks
     its successor: it and every task's first row (two rows a task) are matched afterwards.
-    A single document is its own next.
+    A single document is its own next. Rows are compared in batches of `batch`, or of `chars`
+    characters if that is less.
     """
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, waiting, any_yet = TaskContext.get().partitionId(), None, [], False
+        part, held, waiting, any_yet, size = TaskContext.get().partitionId(), None, [], False, 0
 
         def emit(rows, side=()):
             cols = _compared(rows)
@@ -171,20 +174,22 @@ def compare_neighbours(docs: DataFrame, batch: int = 512) -> DataFrame:
                 now = (doc_id.as_py(), text.as_py() or "")
                 if held is not None:
                     waiting.append((*held, now[1]))
+                    size += len(held[1])
                 elif not any_yet:
                     any_yet = True
                     yield emit([], [(now[0], True, now[1])])
                 held = now
-                if len(waiting) >= batch:
+                if len(waiting) >= batch or size >= chars:
                     yield emit(waiting)
-                    waiting = []
+                    waiting, size = [], 0
         if waiting:
             yield emit(waiting)
         if held is not None:
             yield emit([], [(held[0], False, held[1])])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    done = stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(walk, _SIDE), "fingerprints")
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    done = stored(in_arrow(dealt, walk, _SIDE), "fingerprints")
     names = [*_FIELDS]
     # two rows a task: their window is as long as the list of tasks
     firsts = done.where("first").select("part", "text")
@@ -197,4 +202,4 @@ def compare_neighbours(docs: DataFrame, batch: int = 512) -> DataFrame:
             cols = _compared(list(zip(*(c.to_pylist() for c in b.columns), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(cols[k], v) for k, v in _FIELDS.items()], names)
 
-    return done.where("part is null").select(names).unionByName(ends.mapInArrow(finish, _SCHEMA))
+    return done.where("part is null").select(names).unionByName(in_arrow(ends, finish, _SCHEMA))

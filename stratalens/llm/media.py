@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 UNIT = 576
 OTHER = "application/octet-stream"
 
@@ -319,7 +321,7 @@ def store(docs: DataFrame) -> DataFrame:
                     out.append((doc_id, len((text or "").encode("utf-8")), CODECS[kinds[k]][0](data), kinds[(k + 1) % len(kinds)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FIELDS.values(), strict=True)], list(_FIELDS))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary, declared string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, n_bytes long, media binary, declared string")
 
 
 _READ = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media_type": pa.string(), "embedded": pa.int64()}
@@ -342,4 +344,4 @@ def read_back(media: DataFrame, tail: int = 32) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _READ.values(), strict=True)], list(_READ))
 
     names = {pa.int64(): "long", pa.string(): "string"}
-    return media.select("doc_id", "n_bytes", "media", "declared").mapInArrow(rows, ", ".join(f"{k} {names[t]}" for k, t in _READ.items()))
+    return in_arrow(media.select("doc_id", "n_bytes", "media", "declared"), rows, ", ".join(f"{k} {names[t]}" for k, t in _READ.items()))

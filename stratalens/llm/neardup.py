@@ -22,21 +22,21 @@ are compared like others; a component's id is its least doc_id, null ones apart.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import in_arrow, stored, stored_buckets
 
 SHINGLE, PERCENT = 5, 85
 POSITIONS, TREES, DEPTH, LIMIT = 64, 12, 4, 512
-#: Chance in 256 that a node picks a second position.
-SECOND = 46
-#: Candidates that are broadcast to the table of sets; more are joined by a shuffle.
-FEW = 2_000_000
+#: Words of more bytes are hashed one by one; the others by polynomials, which collide by design only on longer ones.
+LONG = 512
 #: Stands for a null doc_id; a class with any other id takes that.
 NO_ID = 2**63 - 1
 
@@ -56,7 +56,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_up, _down = [_powers(_P, 1 << 17)], [_powers(_INVERSE, 1 << 17)]
+#: Bytes whose prefix sums are taken at once.
+CHUNK = 1 << 16
+_up, _down = _powers(_P, CHUNK + LONG + 1), _powers(_INVERSE, CHUNK + LONG + 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,21 +67,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(data: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than `size` make one shingle."""
-    if not data:
-        return np.zeros(0, np.uint64)
-    if len(data) >= len(_up[0]):
-        _up[0], _down[0] = _powers(_P, 2 * len(data)), _powers(_INVERSE, 2 * len(data))
+def _word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words in order, A-Z lower-cased: the same for a word wherever it stands."""
     b = np.frombuffer(data, np.uint8)
     edge = np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1)
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_LOWER[b] * _up[0][: len(b)], out=sums[1:])
-    words = _mix((sums[stop] - sums[start]) * _down[0][start])
+    out = np.empty(len(start), np.uint64)
+    sums = np.zeros(CHUNK + LONG + 1, np.uint64)
+    first = 0
+    for at in range(0, len(b), CHUNK):
+        last = int(np.searchsorted(start, at + CHUNK))
+        if last > first:
+            part = b[at : at + CHUNK + LONG]
+            np.cumsum(_LOWER[part] * _up[: len(part)], out=sums[1 : len(part) + 1])
+            i, j = start[first:last] - at, np.minimum(stop[first:last] - at, len(part))
+            out[first:last] = (sums[j] - sums[i]) * _down[i]
+            first = last
+    out = _mix(out)
+    for k in np.flatnonzero(stop - start > LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].lower())
+    return out
+
+
+def shingle_set(data: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than `size` make one shingle."""
+    words = _word_hashes(data) if data else []
     n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
     if n < size:
         return _mix(np.array([np.sum(words * _ODD[:n], dtype=np.uint64) + np.uint64(n)], np.uint64))
     total = words[: n - size + 1] * _ODD[0]
@@ -99,14 +114,25 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of every branch that rows in `nodes` with signatures `sigs` take."""
+def second_pick(percent: int) -> int:
+    """Chance in 256 that a node picks a second position: a pair at the threshold then meets in one child on average."""
+    return round(256 * (100.3 / percent - 1))
+
+
+def likely(percent: int) -> int:
+    """Equal positions that a pair must have to be verified: 4.3 deviations below those expected at the threshold."""
+    p = percent / 100
+    return math.floor(POSITIONS * p - 4.3 * math.sqrt(POSITIONS * p * (1 - p)))
+
+
+def children(nodes: np.ndarray, sigs: np.ndarray, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) of every branch that rows in `nodes` with signatures `sigs` take; `second` of 256 nodes have two."""
     at = np.arange(len(nodes))
     pick = _mix(nodes)
     first = (pick % np.uint64(POSITIONS)).astype(np.int64)
-    more = at[(pick >> np.uint64(40)) % np.uint64(256) < SECOND]
-    second = (first[more] + 1 + ((pick[more] >> np.uint64(20)) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
-    rows, position = np.concatenate([at, more]), np.concatenate([first, second])
+    more = at[(pick >> np.uint64(40)) % np.uint64(256) < second]
+    other = (first[more] + 1 + ((pick[more] >> np.uint64(20)) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
+    rows, position = np.concatenate([at, more]), np.concatenate([first, other])
     return rows, _mix(nodes[rows] * _ODD[9] + sigs[rows, position].astype(np.uint64) * _ODD[10] + position.astype(np.uint64) * _ODD[11])
 
 
@@ -127,20 +153,16 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(data, pa.binary())], ["did", "n", "key", "sig", "set"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(rows, "did long, n long, key binary, sig binary, set binary")
+    return in_arrow(d, rows, "did long, n long, key binary, sig binary, set binary")
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = np.concatenate([a, b])
     both.sort(kind="stable")  # merges two sorted runs
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(both) - common)
-
-
-#: Equal positions of 64 that a pair must have to be verified; 54.4 are expected at the threshold, and this is 4.3 deviations below.
-LIKELY = 42
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -161,29 +183,30 @@ def _signatures(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(rows.num_rows, POSITIONS)
 
 
-def _near_pairs(task: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_pairs(task: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Likely pairs within tasks (sorted), between components: rows at distance 1, at distance 2, and so on."""
+    least = likely(percent)
     for d in range(1, len(task)):
         i = np.flatnonzero(task[d:] == task[:-d])
         if not len(i):
             return
         i = i[comp[i] != comp[i + d]]
-        i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= PERCENT * np.maximum(sizes[i], sizes[i + d])]
-        if len(i) and len(i := i[(sigs[i] == sigs[i + d]).sum(axis=1) >= LIKELY]):
+        i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= percent * np.maximum(sizes[i], sizes[i + d])]
+        if len(i) and len(i := i[(sigs[i] == sigs[i + d]).sum(axis=1) >= least]):
             yield i, i + d
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of a task with a likely partner in another component."""
     for rows in _groups(batches):
         comp = np.unique(np.array(rows["comp"].to_pylist(), dtype="S16"), return_inverse=True)[1]
         hit = np.zeros(rows.num_rows, bool)
-        for i, j in _near_pairs(rows["task"].to_numpy(), comp, rows["n"].to_numpy(), _signatures(rows)):
+        for i, j in _near_pairs(rows["task"].to_numpy(), comp, rows["n"].to_numpy(), _signatures(rows), percent):
             hit[i] = hit[j] = True
         yield from rows.select(["task", "key", "did", "comp"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Verified links of tasks between components: (a, b), per task a spanning forest with b the least component of each tree."""
     for rows in _groups(batches):
         task, comps = rows["task"].to_numpy(), rows["comp"].to_pylist()
@@ -196,26 +219,29 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = up
             return c
 
-        for first, second in _near_pairs(task, numbered, rows["n"].to_numpy(), _signatures(rows)):
+        for first, second in _near_pairs(task, numbered, rows["n"].to_numpy(), _signatures(rows), percent):
             for i, j in zip(first.tolist(), second.tolist(), strict=True):
                 t = int(task[i])
                 a, b = top(t, comps[i]), top(t, comps[j])
-                if a != b and _linked(sets[i], sets[j]):
+                if a != b and _linked(sets[i], sets[j], percent):
                     parent[t, max(a, b)] = min(a, b)
         found = sorted({(c, top(t, c)) for t, c in parent})
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _resolve(tasks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of tasks (task, key, did, n, sig, comp): a task's rows meet in one partition, many tasks to a batch."""
+def _resolve(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of tasks (task, key, did, n, sig, comp): a task's rows meet in one partition, many tasks to a batch.
+
+    The candidates are dealt to the buckets of the table of sets, which stays where it is.
+    """
     together = lambda d: d.repartition("task").sortWithinPartitions("task", "key")
     slim = together(tasks.select("task", "key", "did", "n", "sig", "comp"))
-    few = stored(slim.mapInArrow(_candidates, "task long, key binary, did long, comp binary"), "candidates")
-    own = join_small(sets, few, ["key", "did"], "inner", FEW).select("task", "key", "n", "sig", "set", "comp")
-    return together(own).mapInArrow(_links, "a binary, b binary")
+    few = stored(in_arrow(slim, lambda b: _candidates(b, percent), "task long, key binary, did long, comp binary"), "candidates")
+    own = sets.join(few.hint("shuffle_hash"), ["key", "did"]).select("task", "key", "n", "sig", "set", "comp")
+    return in_arrow(together(own), lambda b: _links(b, percent), "a binary, b binary")
 
 
-def _branch(rows: DataFrame, own: str, trees: list[int] | None = None) -> DataFrame:
+def _branch(rows: DataFrame, own: str, second: int, trees: list[int] | None = None) -> DataFrame:
     """Rows (…, sig) with the children of their nodes: of the trees' roots, or of column node."""
     names = [c for c in own.split(", ") if not c.startswith("node ")]
 
@@ -225,23 +251,27 @@ def _branch(rows: DataFrame, own: str, trees: list[int] | None = None) -> DataFr
                 continue
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, POSITIONS)
             if trees is None:
-                rows, nodes = children(batch.column("node").to_numpy().view(np.uint64), sigs)
+                rows, nodes = children(batch.column("node").to_numpy().view(np.uint64), sigs, second)
             else:
-                parts = [children(np.full(batch.num_rows, r, np.uint64), sigs) for r in trees]
+                parts = [children(np.full(batch.num_rows, r, np.uint64), sigs, second) for r in trees]
                 rows, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(batch.column(c.split()[0]).take(take) for c in names)], ["node", *(c.split()[0] for c in names)])
 
-    return rows.mapInArrow(go, own)
+    return in_arrow(rows, go, own)
 
 
 _SLIM = "node long, key binary, comp binary"
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (node, key, comp) of nodes with several components, with the node's number of classes."""
+    """Rows (node, key, comp) of nodes with several components, with the node's number of classes.
+
+    Both sides of the join are written tables, so a node with many rows can be split over tasks.
+    """
+    rows = stored(rows, "branches")
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "size")
-    return rows.join(nodes, "node")
+    return rows.join(stored(nodes, "sizes"), "node")
 
 
 def _hash(*cols) -> F.Column:
@@ -254,11 +284,12 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # the least neighbours are written, so that a vertex with many can be split over tasks
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         # large star: neighbours above the vertex go to its least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "stars")
         # small star: neighbours below the vertex, and itself, go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = stored(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -268,43 +299,42 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, reps): every document's set, and one row per distinct nonempty set: key, did (its least), n, sig."""
-    sets = stored(shingle_rows(docs), "sets")
+    """(sets, reps): every document's set, in buckets by key and did, and one row per distinct nonempty set: key, did (its least), n, sig."""
+    sets = stored_buckets(shingle_rows(docs), "sets", ["key", "did"])
     reps = sets.where("n > 0").groupBy("key").agg(F.min("did").alias("did"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     return sets, stored(reps, "reps")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document of (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document of (doc_id, text): doc_id, n_shingles, component_id, kept. Links are of Jaccard similarity percent / 100 or more."""
+    second = second_pick(percent)
     sets, reps = classes_of(docs)
     with_sig = lambda rows: rows.join(reps.select("key", "did", "n", "sig"), "key")
     sized = lambda rows, mark: rows.withColumn("task", _hash("node", F.pmod(_hash("key"), F.ceil(F.col("size") / LIMIT)), F.lit(mark)))
     apply = lambda rows, links: rows.join(links.select(F.col("a").alias("comp"), "b"), "comp", "left").select("key", F.coalesce("b", "comp").alias("comp"))
+    resolve = lambda tasks: stored(_resolve(with_sig(tasks), sets, percent), "links")
 
     # First pass: one tree, large nodes in chunks; a class is in one task, so the links are stars.
     comps = reps.select("key", F.col("key").alias("comp"))
-    first = _mixed(_branch(reps.withColumn("comp", F.col("key")), _SLIM, roots([0])).groupBy("key", "comp").agg(F.min("node").alias("node")))
-    links = stored(_resolve(with_sig(sized(first, 1)), sets), "links")
-    comps = stored(apply(comps, links), "comps")
+    first = stored(_mixed(_branch(reps.withColumn("comp", F.col("key")), _SLIM, second, roots([0])).groupBy("key", "comp").agg(F.min("node").alias("node"))), "nodes")
+    comps = stored(apply(comps, resolve(sized(first, 1))), "comps")
     # Its roots, at the nodes that were cut into chunks.
     again = _mixed(first.where(f"size > {LIMIT}").select("node", "key").join(comps, "key").where("key = comp").select("node", "key", "comp"))
-    comps = stored(apply(comps, stored(_resolve(with_sig(sized(again, 2)), sets), "links")), "comps")
+    comps = stored(apply(comps, resolve(sized(again, 2))), "comps")
 
     # All trees, down to small nodes; then blocks of the nodes that stay large.
-    rows = _branch(reps.select("key", "sig").join(comps, "key"), _SLIM, roots(range(TREES)))
+    rows = _branch(reps.select("key", "sig").join(comps, "key"), _SLIM, second, roots(range(TREES)))
     leaves = None
     for depth in range(1, DEPTH + 1):
         rows = stored(_mixed(rows.distinct()), "nodes")
         small = rows.where(f"size <= {LIMIT}").withColumn("task", _hash("node", F.lit(3)))
         leaves = small if leaves is None else leaves.unionByName(small)
-        rows = rows.where(f"size > {LIMIT}").drop("size")
+        rows = rows.where(f"size > {LIMIT}")
         if depth < DEPTH:
-            rows = _branch(rows.join(reps.select("key", "sig"), "key"), _SLIM)
-    parts = F.ceil(_size_of(rows) / (LIMIT // 2))
-    large = rows.withColumn("parts", parts.cast("int")).withColumn("i", F.pmod(_hash("key"), F.col("parts")).cast("int"))
+            rows = _branch(rows.join(reps.select("key", "sig"), "key"), _SLIM, second)
+    large = rows.withColumn("parts", F.ceil(F.col("size") / (LIMIT // 2)).cast("int")).withColumn("i", F.pmod(_hash("key"), F.col("parts")).cast("int"))
     large = large.withColumn("j", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("task", _hash("node", F.least("i", "j"), F.greatest("i", "j"), F.lit(4)))
-    tasks = leaves.select("task", "key", "comp").unionByName(large.select("task", "key", "comp"))
-    found = components(stored(_resolve(with_sig(tasks), sets), "links"))
+    found = components(resolve(leaves.select("task", "key", "comp").unionByName(large.select("task", "key", "comp"))))
     comps = apply(comps, found)
 
     own = reps.select("key", F.nullif("did", F.lit(NO_ID)).alias("did")).join(comps, "key")
@@ -316,13 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
 
 
-def _size_of(rows: DataFrame) -> F.Column:
-    from pyspark.sql import Window
-
-    return F.count("*").over(Window.partitionBy("node"))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that near_duplicates() keeps, with their columns; rows without doc_id stay, and of rows with a kept id each one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))

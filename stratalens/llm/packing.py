@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import in_arrow, join_small, stored
 from .tokens import default_path, encoder
 
 LENGTH, CYCLE, LEAST = 1024, 32, 128
+#: Queues at most; more sources than that share queues by a hash of their names, so the schedule stays small.
+QUEUES = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -159,7 +161,7 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "source": batch.column(1), "part": pa.array([part] * len(out), pa.int64()), "before": pa.array(before, pa.int64()), "n": pa.array([len(x) // enc.width for x in out], pa.int64()), "width": pa.array([enc.width] * len(out), pa.int32()), "ids": pa.array(out, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
-    return rows.mapInArrow(encode, "doc_id long, source string, part long, before long, n long, width int, ids binary")
+    return in_arrow(rows, encode, "doc_id long, source string, part long, before long, n long, width int, ids binary")
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, target: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -168,8 +170,16 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, target: dict[str, floa
     Null text: empty (only the end id). Null source: "". Null or repeated doc_id: rows are packed
     one by one and keep their doc_id. Empty table: no rows. Within a source documents follow one
     another as read. The token table is written once in the shared folder, so that the totals
-    and the pieces see the same order; the driver holds one total per source and one cycle.
+    and the pieces see the same order; the driver holds one total per queue and one cycle. Up to
+    QUEUES sources have a queue each, more share them (source is then the queue's name).
     """
+    docs = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    if len(docs.select("source").distinct().limit(QUEUES + 1).take(QUEUES + 1)) > QUEUES:
+        if target and len(target) >= QUEUES:
+            raise ValueError(f"at most {QUEUES - 1} sources can have targets where more than {QUEUES} are packed")
+        own = F.col("source").isin(*target) if target else F.lit(False)
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(QUEUES - len(target or ()))).cast("string"))
+        docs = docs.withColumn("source", F.when(own, F.col("source")).otherwise(shared))
     rows = stored(token_rows(docs, tokenizer, end_id), "tokens")
     sums = rows.groupBy("source", "part").agg(F.sum("n").alias("v"))
     bases = sums.select("source", "part", F.coalesce(F.sum("v").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -189,4 +199,4 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, target: dict[str, floa
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "source" else pa.int64()) for k, v in zip(names, out, strict=True)], names)
 
     placed = join_small(rows, bases, ["source", "part"], "inner").select("doc_id", "source", (F.col("before") + F.col("base")).alias("at"), "n", "width", "ids")
-    return placed.mapInArrow(emit, PIECES)
+    return in_arrow(placed, emit, PIECES)

@@ -54,12 +54,16 @@ class Encoder(dict):
         self.max_words, self.old, self.parts, self.old_parts = max_words, {}, {}, {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.space = self.letters[32]
+        self.bytes = [i.to_bytes(self.width, "little") for i in range(self.size)]
+        self.model = self.tokenizer.model
 
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _model(self, pretoken: str) -> bytes:
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(pretoken.encode("utf-8").decode("latin-1").translate(self.letters))])
+        of = self.bytes
+        return b"".join([of[t.id] for t in self.model.tokenize(pretoken.encode("utf-8").decode("latin-1").translate(self.letters))])
 
     def _part(self, pretoken: str) -> bytes:
         if (got := self.parts.get(pretoken)) is None:
@@ -76,12 +80,21 @@ class Encoder(dict):
         return b"".join(map(self._part, _PRETOKEN.findall(piece)))
 
     def __missing__(self, word: str) -> bytes | None:
+        if word.isalpha():
+            if (got := self.old.get(word)) is None:
+                if word.isascii():  # such letters stand for themselves
+                    of = self.bytes
+                    got = b"".join([of[t.id] for t in self.model.tokenize(self.space + word)])
+                else:
+                    got = self._model(" " + word)
+            if len(word) < 64:
+                self[word] = got
+            return got
         core = word.rstrip(_MARKS)
-        if core.isalpha():
-            if core is not word and len(core) != len(word):  # letters, then marks: two pretokens
+        if core.isalpha():  # letters, then marks: two pretokens
+            if (got := self.get(core)) is None:
                 return self[core] + self._part(word[len(core) :])
-            if (got := self.old.get(word)) is None:
-                got = self._model(" " + word)
+            got += self._part(word[len(core) :])  # kept only if the letters were seen before
         elif not word:
             got = None
         elif (got := self.old.get(word, 0)) == 0:

@@ -15,6 +15,7 @@ Without labelled rows of both classes every score is 0. Label rows that repeat a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -27,11 +28,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD, REPEAT, LEVEL, TOP, MAX_WORDS = 40, 3, 3, 4, 500_000
+from .common import small_batches
+
+WORD, REPEAT, LEVEL, TOP = 40, 3, 3, 4
+#: Words whose weights a worker keeps.
+MAX_WORDS = 100_000
 #: Labelled rows per class that the model is fitted on, the first by a hash of their id.
 SAMPLE = 3_000
 THRESHOLD = 0.7
 FOLDS, OVER = 4, 3.0
+#: Words of the two dictionaries at most.
+DICTIONARY, ORDINARY = 6_000, 60_000
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -96,6 +103,17 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+_last: list[tuple[bytes, Scorer]] = []
+
+
+def _scorer(model: Model) -> Scorer:
+    """The worker's scorer of a model; the last one is kept."""
+    key = hashlib.sha256(model.toxic + b"\0" + model.ordinary + repr((sorted(model.weights.items()), model.coef)).encode()).digest()
+    if not _last or _last[0][0] != key:
+        _last[:] = [(key, Scorer(model))]
+    return _last[0][1]
+
+
 def _model(toxic: Counter, n_toxic: int, plain: Counter, n_plain: int, frequency: Counter, dictionary_words: int, ordinary_words: int) -> Model:
     """Dictionaries from the counts of families that hold a word, toxic and plain ones, and the words' frequency in plain ones."""
     over = {w: (c / n_toxic) / ((plain[w] + 0.5) / n_plain) for w, c in toxic.items() if c >= 2}
@@ -106,9 +124,13 @@ def _model(toxic: Counter, n_toxic: int, plain: Counter, n_plain: int, frequency
     return Model(join(chosen), join(common))
 
 
-def fit(texts: Iterable[str | None], toxic: Iterable[int], dictionary_words: int = 6_000, ordinary_words: int = 60_000) -> Model:
+def fit(texts: Iterable[str | None], toxic: Iterable[int], dictionary_words: int = DICTIONARY, ordinary_words: int = ORDINARY) -> Model:
     """A model of labelled texts, on the driver.
 
+    The toxic dictionary holds at most `dictionary_words` words, the most telling ones, the
+    ordinary one at most `ordinary_words`, the most frequent ones: zstandard's dictionaries are
+    of bounded size. A word in neither still has its lengths and thereby a weight.
+
     Near copies form a family (see _family) and count once. The cells are calibrated on FOLDS
     folds of families, each against dictionaries of the other folds; then all make the dictionaries.
     """
@@ -182,13 +204,14 @@ def add_scores(df: DataFrame, model: Model, text: str = "text", out: str = "scor
     """`df` with the toxicity score in [0, 1] of a text column."""
     if not model.coef:
         return df.withColumn(out, F.lit(0.0))
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded words
-    kept: dict[str, Scorer] = {}
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = kept.setdefault("scorer", Scorer(sent.value))
+        scorer = _scorer(sent.value)
         for s in batches:
             yield s.map(scorer.score, na_action=None).astype(float)
+        scorer.clear()  # the next task may be another operator's
 
     return df.withColumn(out, score(F.col(text)))

@@ -40,6 +40,20 @@ def test_posteriors_and_copies(spark, data):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_natural_total_lowers_large_domains_and_least_keeps_every_row(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix(docs, labels, total="natural").collect()
+    tokens = sum(r.tokens for r in got)
+    assert min(r.rate for r in got) < 1 < max(r.rate for r in got)
+    assert abs(sum(r.tokens * r.rate for r in got) / tokens - 1) < 1e-3
+    by = {r.domain: (r.domain_target, r.domain_reached) for r in got}
+    assert all(abs(a - b) <= mixing.CLOSE * max(a, 1) for a, b in by.values())
+    out = mixing.mixed_documents(docs, labels, least=1.0)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in got}
+    some = mixing.mix(docs, labels, target={"en": 0.5, "de": 0.5}, total=10_000.0).collect()
+    assert min(r.rate for r in some) == 0 and sum(r.copies for r in some) < len(some)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "", "en"), (2, "a" * 100_000, "en"), (3, "b c", "de"), (3, "b c", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS tokens", "2 AS rate")

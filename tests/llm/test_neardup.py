@@ -13,7 +13,7 @@ def sets_of(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [sets_of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             common = len(sets[i] & sets[j])
-            if sets[i] and 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+            if sets[i] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 parent[top(i)] = top(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -34,9 +34,9 @@ def brute(rows):
     return sorted((d if d is not None else -1, len(s), least.get(top(i), -1), d is not None and d == least.get(top(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def run(spark, rows):
+def run(spark, rows, percent=85):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "'k' AS key", "0 AS comp")
-    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df, percent).collect())
 
 
 def corpus(seed, n=120):
@@ -60,11 +60,26 @@ def test_set_against_plain_python():
         assert len(neardup.shingle_set(text.encode())) == len(sets_of(text))
 
 
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    words = [f"word{i % 977}" for i in range(40_000)] + ["x" * 511, "y" * 512, "Z" * 513, "q" * 200_000, "end"]
+    random.Random(5).shuffle(words)
+    got = neardup._word_hashes("  ".join(words).encode())
+    by = {}
+    for w, h in zip(words, got.tolist(), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+    assert neardup._word_hashes(("z" * 513).encode())[0] == by["Z" * 513]
+    # strings that collide under any polynomial modulo 2^64
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ k] for x in morse) for k in (0, 1))
+    assert neardup._word_hashes(a.encode())[0] != neardup._word_hashes(b.encode())[0]
+
+
 def test_estimates_and_branches():
     a = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64))
     x, y = neardup.signature(a), neardup.signature(a[:900])
     assert 48 <= (x == y).sum() <= 64
-    rows, nodes = neardup.children(np.array([5, 5, 6], np.uint64), np.array([x, x, y]))
+    rows, nodes = neardup.children(np.array([5, 5, 6], np.uint64), np.array([x, x, y]), 46)
     assert sorted(nodes[rows == 0].tolist()) == sorted(nodes[rows == 1].tolist())
 
 
@@ -88,6 +103,12 @@ def test_against_all_pairs(spark, monkeypatch, limit):
     assert run(spark, rows) == brute(rows)
 
 
+def test_other_thresholds(spark):
+    rows = list(enumerate(corpus(77, 150)))
+    for percent in (80, 95):
+        assert run(spark, rows, percent) == brute(rows, percent)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from stratalens.llm import bitpack, packing
-from stratalens.llm.common import prefix_sum, stored
+from stratalens.llm.common import new_path, prefix_sum
 from stratalens.llm.tokens import default_path, encoder
 
 ODD = [None, "", "a  b", " a", "a ", "\n\nx y\n", "it's <|endoftext|> x", "x ", "12 ab34%% 漢字 😀 ok\t\tb", "a\n b", "é" * 3000, "word, " * 900, "same text", "same text"]
@@ -62,16 +62,34 @@ def test_prefix_sum(spark):
 
 def test_bitpack_query(spark, tmp_path):
     rows = [*ROWS, (None, "no id", "en", "s0", 0), (3, "twice the id", "en", "s0", 0)]
-    shards = stored(bitpack.write_shards(frame(spark, rows, True), shard_ids=50), "t")
-    assert bitpack.export(shards, str(tmp_path)) == shards.count()
-    got = bitpack.read_documents(shards).collect()
+    bitpack.write_files(bitpack.write_shards(frame(spark, rows, True), shard_ids=50), f"file://{tmp_path}/shards")
+    files = sorted((tmp_path / "shards").glob("part-*"))
+    shards = [bitpack.Shard(f.read_bytes()) for f in files]
+    assert len(shards) > 3 and all(s.bits == 16 for s in shards)
+    assert sorted(d for s in shards for d in s.doc_ids.tolist()) == sorted(bitpack.NO_ID if r[0] is None else r[0] for r in rows)
+    got = sorted(bitpack.read_documents(bitpack.read_files(spark, f"file://{tmp_path}/shards")).collect(), key=lambda r: r.start)
     at = 0
-    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
-    assert len(got) == len(rows)
-    for r, row in zip(sorted(got, key=lambda r: r.start), order, strict=True):
-        x = ids(row[1])
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (row[0], at, len(x), crc(x))
-        at += len(x)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: -1 if d is None else d)
+    left = [(d, len(x), crc(x)) for d, t, *_ in rows for x in [ids(t)]]
+    for r in got:
+        assert r.start == at
+        left.remove((r.doc_id, r.n_tokens, r.ids_crc32))
+        at += r.n_tokens
+    assert not left
+
+
+def test_a_cut_shard_is_refused():
+    data = bitpack.image([1], [3], np.array([7, 8, 9]), 16)
+    for bad in (data[:-1], data[:-2] + b"\n\n"[:1], b"x" + data[1:]):
+        with pytest.raises(ValueError):
+            bitpack.Shard(bad)
+
+
+def test_more_sources_than_queues(spark):
+    rows = [(i, f"word {i}", "en", f"host{i}", 0) for i in range(300)]
+    got = packing.pack_documents(frame(spark, rows), 64, {"host1": 0.5}).collect()
+    assert len({r.source for r in got}) <= packing.QUEUES and "host1" in {r.source for r in got}
+    assert {r.doc_id for r in got} == set(range(300))
 
 
 @pytest.mark.parametrize("target", [None, {"s0": 0.7, "s1": 0.3}])
@@ -109,4 +127,6 @@ def test_windows_keep_the_shares():
 def test_empty(spark):
     none = frame(spark, [])
     assert packing.pack_documents(none).count() == 0
-    assert bitpack.read_documents(stored(bitpack.write_shards(none), "t")).count() == 0
+    path = new_path(spark, "t")
+    bitpack.write_files(bitpack.write_shards(none), path)
+    assert bitpack.read_documents(bitpack.read_files(spark, path)).count() == 0
