@@ -23,7 +23,7 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
 m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
-ORACLES: dict[str, str] = {"op5_neardup": NEAR}
+ORACLES: dict[str, str] = {"op5_neardup": NEAR, "op6_licenses": licenses.oracle()}
 HELD_OUT = "coalesce(crc32(CAST(doc_id AS STRING)) % 3 = 1, false)"
 
 
