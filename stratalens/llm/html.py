@@ -1,38 +1,53 @@
-"""Main text of web pages: landmarks first, a suffix array per host where a page has none.
+"""Main text of web pages: structure and a suffix array of every host decide together.
 
 A page is cut into blocks of text in page order. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out by their elements, roles and
-class names. If the page marks its main part (article, main, role=main), the blocks in it are the
-text, whole: the same article on two pages stays on both. A class or id counts by whole names. It
-leaves out no element that holds the main element, and none that holds an article unless an article
-stands elsewhere or the rest has at least as much text (comments and teasers can be articles too).
-
-Pages without such a mark go through their host's suffix array: the token streams of a host's
-pages stand one after another, and equal substrings of RUN tokens or more on PAGES or more
-distinct pages are boilerplate; rows of equal tokens are one page, so copies of a page stay whole. Covered tokens go, unique runs stay. The array is kept to the
-suffixes' first RUN tokens, which is what decides coverage, and is spread over the cluster by
-(host, prefix): equal prefixes, neighbours in the array, meet by a shuffle with partial counts,
-so a host with a third of all pages is no single task's work.
-
-Null or empty html: empty text. Null url: its own host "". Every input row gives one row.
+names. A class counts by whole names on any element, an id on containers only. Neither leaves out
+an element that holds the main element, nor one that holds an article unless an article stands
+elsewhere or the rest has at least as much text (comments and teasers can be articles too). An
+article named as a comment, reply or teaser is left out like any such element.
+
+All pages of a host then go through its suffix array: the token streams of its distinct pages
+(equal streams are one page) stand one after another with a mark of its own between two, their
+suffixes are sorted by prefix doubling, and where RUN tokens or more agree between suffixes of
+PAGES or more pages, the run is repeated. Order beyond RUN tokens does not change what is covered,
+so doubling ends there. What the two say together:
+
+* a page that marks its main part (main, article, role=main): that part, whole, since the same
+  text on several pages is theirs nonetheless. Of several articles the longest stays; another one
+  goes if it is mostly repeated runs (teasers that stand on many pages) or a fraction of its length;
+* any other page: its blocks without the tokens that repeated runs cover; unique runs stay.
+
+A host is dealt to shards by the hash of a page's tokens, as many as its bytes need, so a host with a third
+of all pages is no single task's work. Shards of one host exchange the fingerprints of their
+runs, in slices, so that pages of different shards count together.
+
+Null or empty html: empty text. Null url: its own host "". Every input row gives one row, repeated
+ones too; an empty table gives none. Time is linear in a page, whatever its nesting. Only page_id,
+url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_arrow, join_small, stored
 
 RUN, PAGES = 8, 3
+#: Bytes of html that a shard of a host holds.
+SHARD_BYTES = 8 << 20
+#: An article of this share of the longest one's characters, or less, is a teaser.
+TEASER = 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[/!?a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)", re.S)
@@ -48,8 +63,12 @@ _NAME = r"(?:ad|advert[a-z]*|sponsor[a-z]*|promo|promos|promotion[a-z]*|banner|c
 #: Parts that place or hold what such a name says; with any other part (has-sidebar, promo-free, share-price) a name says something else.
 _PLACE = r"(?:wrap|wrapper|container|holder|box|bar|area|section|block|panel|pane|list|item|link|button|btn|icon|group|row|column|col|inner|outer|top|bottom|left|right|side|primary|secondary|main|global|mega|sub|dropdown|site|page|post|entry|article|user|reader|email|media|header|head|title|form|slot|unit|zone|frame|story|stories|news|tool|law|info|mobile|desktop|sticky|fixed|floating|small|large|this|\d+(?:x\d+)?)s?"
 _NAMES = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_PLACE}))*(?=$|\s)", re.I)
+#: Elements that hold others; ids of other ones (headings, paragraphs) are link targets.
+_HOLDS = {"div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "td", "figure", "details", "center", "span", "iframe"}
+#: What makes an article another one than the page's.
+_OTHER = re.compile(r"(?:^|\s)(?:(?:user|reader|post|article|blog|thread)[_-])?(?:comment|reply|replies|response|teaser|related|recommended|promo|sponsored|advert|ad)s?(?:[_-](?:item|body|card|box|entry|post|\d+))*(?=$|\s)", re.I)
 _CLOSES_P = _BLOCK - {"body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-MARKED = r"(?i)<(?:article|main)[\s>/]|role\s*=\s*[\"']?main"
+_ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
 
 def _unwanted(name: str, rest: str) -> int:
@@ -63,50 +82,112 @@ def _unwanted(name: str, rest: str) -> int:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return 2
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _NAMES.search(value):
+        if name == "article":
+            if key == "class" and _OTHER.search(value):
+                named = 1
+        elif (key == "class" or key == "id" and name in _HOLDS) and name not in ("html", "body", "main") and _NAMES.search(value):
             named = 1
     return named
 
 
-def blocks(page: str | None) -> tuple[bool, list[str]]:
-    """(whether the main part is marked, the text blocks of it or else of the page), without unwanted elements."""
-    marked, found, articles, main_in, article_in = _parse(page, set())
+@dataclass
+class Page:
+    """A page's wanted blocks in order; of each, whether it is in the main part, and its outermost article there (0: none)."""
+
+    marked: bool = False
+    texts: list[str] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
+    article: list[int] = field(default_factory=list)
+    #: Characters in articles, or None without one.
+    in_articles: int | None = None
+    #: Starts of elements left out by class or id that hold a main element, an article.
+    main_in: set[int] = field(default_factory=set)
+    article_in: set[int] = field(default_factory=set)
+
+    def chars(self) -> int:
+        return sum(len(t) for t, m in zip(self.texts, self.main, strict=True) if m or not self.marked)
+
+
+def parse(page: str | None) -> Page:
+    """The page's blocks without unwanted elements."""
+    found = _parse(page, set())
+    main_in = found.main_in
     if main_in:
-        marked, found, articles, _, article_in = _parse(page, main_in)
-    if article_in and articles is None:
-        with_article = _parse(page, main_in | article_in)
-        if with_article[2] > sum(map(len, found)):
-            return with_article[:2]
-    return marked, found
+        found = _parse(page, main_in)
+    if found.article_in and found.in_articles is None:
+        other = _parse(page, main_in | found.article_in)
+        if (other.in_articles or 0) > found.chars():
+            return other
+    return found
+
+
+def choose(page: Page, covered: np.ndarray | None = None) -> list[str]:
+    """The blocks of the text; covered: for every token of the page's stream, whether a repeated run covers it."""
+    ends = np.cumsum([0, *(len(t.split()) for t in page.texts)])
+    share = lambda at: covered[at].mean() if covered is not None and len(at) else 0.0
+    if page.marked:
+        size, tokens = Counter(), {}
+        for k, (text, a) in enumerate(zip(page.texts, page.article, strict=True)):
+            if a:
+                size[a] += len(text)
+                tokens.setdefault(a, []).append(np.arange(ends[k], ends[k + 1]))
+        longest = max(size, key=lambda a: (size[a], -a), default=0)
+        out = {a for a in size if a != longest and (size[a] <= TEASER * size[longest] or share(np.concatenate(tokens[a])) >= 0.5)}
+        return [t for t, m, a in zip(page.texts, page.main, page.article, strict=True) if m and a not in out]
+    if covered is None or not covered.any():
+        return page.texts
+    out = []
+    for k, text in enumerate(page.texts):
+        gone = covered[ends[k] : ends[k + 1]]
+        if not gone.any():
+            out.append(text)
+        elif not gone.all():
+            out.append(" ".join(w for w, g in zip(text.split(), gone, strict=True) if not g))
+    return out
 
 
-def _parse(page: str | None, kept: set[int]) -> tuple[bool, list[str], int | None, set[int], set[int]]:
-    """(marked, blocks, characters in articles or None without one, and the starts of elements left out by class or id that hold a main element, an article).
+def blocks(page: str | None) -> tuple[bool, list[str]]:
+    """(whether the main part is marked, the text blocks of it or else of the page), by structure alone."""
+    found = parse(page)
+    return found.marked, choose(found)
 
-    Elements that start at `kept` are not left out by class or id.
-    """
-    main: list[str] = []
-    every: list[str] = []
+
+def _parse(page: str | None, kept: set[int]) -> Page:
+    """Elements that start at `kept` are not left out by class or id."""
+    out = Page()
     text: list[str] = []
     stack: list[str] = []
-    out_at, main_at, marked = 0, 0, False  # depths at which an unwanted and the main element opened
-    hard_at, article_at, articles = 0, 0, None
+    opened: Counter[str] = Counter()  # open elements by name
+    blocks_at: list[int] = []  # depths of open block elements
+    p_at: list[int] = []  # depths of open paragraphs
+    out_at, main_at = 0, 0  # depths at which an unwanted and the main element opened
+    hard_at, article_at, number = 0, 0, 0
     named: list[tuple[int, int]] = []  # depth and start of open elements left out by class or id
-    main_in: set[int] = set()
-    article_in: set[int] = set()
     raw = ""
 
     def flush():
-        nonlocal articles
         if text:
             if block := _SPACE.sub(" ", references.unescape("".join(text))).strip():
-                every.append(block)
-                if main_at:
-                    main.append(block)
+                out.texts.append(block)
+                out.main.append(main_at > 0)
+                out.article.append(number if article_at else 0)
                 if article_at:
-                    articles += len(block)
+                    out.in_articles += len(block)
             text.clear()
 
+    def pop() -> str:
+        nonlocal out_at, main_at, hard_at, article_at
+        depth, last = len(stack), stack.pop()
+        opened[last] -= 1
+        if blocks_at and blocks_at[-1] == depth:
+            blocks_at.pop()
+        if p_at and p_at[-1] == depth:
+            p_at.pop()
+        if named and named[-1][0] == depth:
+            named.pop()
+        out_at, main_at, hard_at, article_at = (0 if x == depth else x for x in (out_at, main_at, hard_at, article_at))
+        return last
+
     for m in _TOKEN.finditer(page or ""):
         token = m[0]
         if raw:
@@ -136,34 +217,24 @@ def _parse(page: str | None, kept: set[int]) -> tuple[bool, list[str], int | Non
         if name in _VOID:
             continue
         if end:
-            if name in stack:
-                while True:
-                    last = stack.pop()
-                    if len(stack) < out_at:
-                        out_at = 0
-                    if len(stack) < main_at:
-                        main_at = 0
-                    if len(stack) < hard_at:
-                        hard_at = 0
-                    if len(stack) < article_at:
-                        article_at = 0
-                    if named and len(stack) < named[-1][0]:
-                        named.pop()
-                    if last == name:
-                        break
+            if opened[name]:
+                while pop() != name:
+                    pass
             continue
-        if name in _CLOSES_P and stack and "p" in stack and not (out_at and "p" not in stack[out_at:]):
-            at = len(stack) - 1 - stack[::-1].index("p")
-            if not any(x in _BLOCK for x in stack[at + 1 :]) and at + 1 > out_at and at + 1 > main_at:
-                del stack[at:]
-                if len(stack) < hard_at:
-                    hard_at = 0
-                while named and len(stack) < named[-1][0]:
-                    named.pop()
+        # a block ends an open paragraph, unless a block, an unwanted or the main element stands between
+        if name in _CLOSES_P and p_at and blocks_at[-1] == p_at[-1] and p_at[-1] >= out_at and p_at[-1] > main_at:
+            at = p_at[-1]
+            while len(stack) >= at:
+                pop()
         stack.append(name)
+        opened[name] += 1
+        if name in _BLOCK:
+            blocks_at.append(len(stack))
+        if name == "p":
+            p_at.append(len(stack))
         if hard_at:
             continue
-        is_main = name == "main" or re.search(r"(?i)\brole\s*=\s*[\"']?main\b", rest) is not None
+        is_main = name == "main" or "main" in rest and _ROLE_MAIN.search(rest) is not None
         why = _unwanted(name, rest)
         if why == 2:
             hard_at = len(stack)
@@ -173,79 +244,219 @@ def _parse(page: str | None, kept: set[int]) -> tuple[bool, list[str], int | Non
             out_at = out_at or len(stack)
         elif is_main or name == "article":
             if out_at:
-                (main_in if is_main else article_in).update(start for _, start in named)
+                (out.main_in if is_main else out.article_in).update(start for _, start in named)
                 continue
             if not main_at:
-                main_at, marked = len(stack), True
+                main_at, out.marked = len(stack), True
             if name == "article" and not article_at:
-                article_at, articles = len(stack), articles or 0
+                article_at, out.in_articles, number = len(stack), out.in_articles or 0, number + 1
     flush()
-    return marked, main if marked else every, articles, main_in, article_in
+    return out
 
 
-_FIELDS = "page_id long, url string, text string, n_chars long"
+_P = np.random.default_rng(20_240_811).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for lo in range(0, big.num_rows, 200):
-                b = big.slice(lo, 200)
-                texts = ["\n".join(blocks(x.as_py())[1]) for x in b.column(2)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-    return pages.mapInArrow(rows, _FIELDS)
 
+class Words(dict):
+    """Maps a word to its 64-bit hash, a task's words at most."""
 
-def _prefixes(text: str | None, run: int) -> np.ndarray:
-    """The hashes of the first `run` tokens of the suffixes of a page's token stream that are as long."""
-    tokens = (text or "").split()
-    return np.array([xxhash.xxh3_64_intdigest("\n".join(tokens[i : i + run])) for i in range(len(tokens) - run + 1)], np.uint64).view(np.int64)
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
 
 
-def remove_repeats(rows: DataFrame, run: int = RUN, pages: int = PAGES) -> DataFrame:
-    """Rows (id long, host, text) with the tokens of `text` that repeated runs cover taken out; blocks are lines."""
+def stream(texts: list[str], words: Words) -> np.ndarray:
+    """The token hashes of a page's blocks."""
+    own = [w for t in texts for w in t.split()]
+    return np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [np.unique(_prefixes(t, run)) for t in pdf["text"]]
-            n = [len(f) for f in found]
-            page = np.array([xxhash.xxh3_64_intdigest("\n".join((t or "").split())) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "host": np.repeat(pdf["host"].to_numpy(), n), "h": np.concatenate([*found, np.zeros(0, np.int64)]), "page": np.repeat(page, n)})
 
-    array = rows.mapInPandas(suffixes, "id long, host string, h long, page long")
-    repeated = array.groupBy("host", "h").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= pages).select("host", "h")
-    covered = array.select("id", "host", "h").join(repeated, ["host", "h"]).groupBy("id").agg(F.collect_set("h").alias("hs"))  # at most a page's own suffixes
+@dataclass
+class HostArray:
+    """The suffix array of some pages' streams, sorted to `run` tokens.
 
-    @F.pandas_udf("string")
-    def without(text, hs):
-        out = []
-        for t, h in zip(text, hs, strict=True):
-            if h is None or not len(h):
-                out.append(t)
-                continue
-            own = np.flatnonzero(np.isin(_prefixes(t, run), np.asarray(h, np.int64)))
-            lines, at, kept = t.split("\n"), 0, []
-            gone = np.zeros(len(t.split()) + 1, bool)
-            for k in range(run):
-                gone[own + k] = True
-            for line in lines:
-                words = line.split()
-                rest = [w for k, w in enumerate(words) if not gone[at + k]]
-                at += len(words)
-                if rest:
-                    kept.append(" ".join(rest))
-            out.append("\n".join(kept))
-        return pd.Series(out, dtype=object)
-
-    return rows.join(covered, "id", "left").withColumn("text", without("text", "hs")).drop("hs")
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """Per row of (page_id, url, html): page_id, url, text, n_chars (code points)."""
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = F.col("html").rlike(MARKED)
-    rest = stored(_parsed(d.where(~marked)).withColumn("id", F.monotonically_increasing_id()), "unmarked")
+    at, page: a suffix's place in the concatenation and its page, in the order of the array;
+    group: equal where `run` tokens agree, for suffixes that are as long.
+    """
+
+    starts: np.ndarray
+    text: np.ndarray
+    at: np.ndarray
+    page: np.ndarray
+    group: np.ndarray
+
+    @classmethod
+    def build(cls, streams: list[np.ndarray], run: int = RUN) -> "HostArray":
+        starts = np.cumsum([0, *(len(x) + 1 for x in streams)])
+        text = np.concatenate([y for x in streams for y in (x, np.zeros(1, np.uint64))]) if streams else np.zeros(0, np.uint64)
+        n = len(text)
+        rank = np.unique(text, return_inverse=True)[1].astype(np.int64) if n else np.zeros(0, np.int64)
+        marks = starts[1:] - 1
+        rank[marks] = n + np.arange(len(marks))  # a mark of its own after every page
+        width = 1
+        while width < run:
+            step = min(width, run - width)
+            ahead = np.full(n, -1, np.int64)
+            ahead[: n - step] = rank[step:]
+            rank = np.unique(rank * (2 * n + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+            width += step
+        page = np.repeat(np.arange(len(streams)), np.diff(starts))
+        left = starts[page + 1] - 1 - np.arange(n) if n else np.zeros(0, np.int64)
+        full = np.flatnonzero(left >= run)
+        order = full[np.argsort(rank[full], kind="stable")]
+        return cls(starts, text, order, page[order], rank[order])
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(for every suffix of the array its group's number, for every group how many pages it stands on)."""
+        if not len(self.at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.diff(self.group, prepend=-1) != 0
+        number = np.cumsum(new) - 1
+        # pages ascend within a group, since suffixes of equal rank keep their order
+        other = new | (np.diff(self.page, prepend=-1) != 0)
+        return number, np.bincount(number[other])
+
+    def fingerprints(self, run: int = RUN) -> np.ndarray:
+        """A 64-bit fingerprint of every group's `run` tokens, the same in any array."""
+        first = self.at[np.flatnonzero(np.diff(self.group, prepend=-1) != 0)]
+        total = np.zeros(len(first), np.uint64)
+        for k in range(run):
+            total += self.text[first + k] * _P[k]
+        return _mix(total)
+
+    def covered(self, repeated: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+        """For every page, which tokens the groups marked in `repeated` cover."""
+        number, _ = self.groups()
+        edge = np.zeros(len(self.text) + run + 1, np.int64)
+        at = self.at[repeated[number]] if len(number) else self.at
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + run, -1)
+        inside = np.cumsum(edge) > 0
+        return [inside[a : b - 1] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+
+
+_PARSED = "of long, page_id long, url string, host string, shard long, marked boolean, texts array<string>, main array<boolean>, article array<int>, seen binary, part int"
+_OUTPUT = "page_id long, url string, text string, n_chars long, repeated_tokens long"
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    """Of pages (of: shards of the host, page_id, url, host, html) a row each: its blocks, and its shard by the hash of its tokens."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parse(x.as_py()) for x in b.column(4)]
+            hashes = [xxhash.xxh3_64_intdigest("\n".join(" ".join(f.texts).split())) for f in found]
+            shard = [h % n for h, n in zip(hashes, b.column(0).to_pylist(), strict=True)]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(shard, pa.int64()), pa.array([f.marked for f in found]), pa.array([f.texts for f in found], pa.list_(pa.string())), pa.array([f.main for f in found], pa.list_(pa.bool_())), pa.array([f.article for f in found], pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.array([1] * n, pa.int32())],
+                [x.split()[0] for x in _PARSED.split(", ")],
+            )
+
+    return in_arrow(pages, rows, _PARSED)
+
+
+def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, list[dict]]]:
+    """(host, shard, rows) of sorted rows."""
+    key, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if (r["host"], r["shard"]) != key:
+                if held:
+                    yield (*key, held)
+                key, held = (r["host"], r["shard"]), []
+            held.append(r)
+    if held:
+        yield (*key, held)
+
+
+def _array_of(rows: list[dict], words: Words) -> tuple[HostArray, list[int]]:
+    """The array of the distinct streams of rows, and each row's number there."""
+    numbers: dict[bytes, int] = {}
+    streams, own = [], []
+    for r in rows:
+        s = stream(r["texts"], words)
+        k = numbers.setdefault(s.tobytes(), len(streams))
+        if k == len(streams):
+            streams.append(s)
+        own.append(k)
+    return HostArray.build(streams), own
+
+
+def _exchange(parsed: DataFrame, run: int, pages: int) -> DataFrame:
+    """(host, shard, seen): fingerprints of a shard's runs that its host's shards together have on `pages` pages or more."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for host, shard, rows in _shards(batches):
+            array, _ = _array_of(rows, words)
+            counts, prints = np.minimum(array.groups()[1], pages), array.fingerprints(run)
+            of = rows[0]["of"]
+            for k in range(of):
+                mine = prints % np.uint64(of) == k
+                order = np.argsort(prints[mine])
+                yield pa.RecordBatch.from_pydict({"host": [host], "slice": [k], "shard": [shard], "prints": pa.array([prints[mine][order].tobytes()], pa.binary()), "counts": pa.array([counts[mine][order].astype(np.uint8).tobytes()], pa.binary())})
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done():
+            prints = [np.frombuffer(r["prints"], np.uint64) for r in held]
+            both, place = np.unique(np.concatenate(prints), return_inverse=True)
+            n = np.bincount(place, np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in held]).astype(float), len(both))
+            many = both[n >= pages]
+            for r, p in zip(held, prints, strict=True):
+                yield pa.RecordBatch.from_pydict({"host": [r["host"]], "shard": [r["shard"]], "seen": pa.array([p[np.isin(p, many)].tobytes()], pa.binary())})
+
+        for b in batches:
+            for r in b.to_pylist():
+                if (r["host"], r["slice"]) != key:
+                    if held:
+                        yield from done()
+                    key, held = (r["host"], r["slice"]), []
+                held.append(r)
+        if held:
+            yield from done()
+
+    sliced = in_arrow(parsed.repartition("host", "shard").sortWithinPartitions("host", "shard"), emit, "host string, slice long, shard long, prints binary, counts binary")
+    return in_arrow(sliced.repartition("host", "slice").sortWithinPartitions("host", "slice", "shard"), merge, "host string, shard long, seen binary")
+
+
+def main_text(pages: DataFrame, run: int = RUN, on_pages: int = PAGES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per row of (page_id, url, html): page_id, url, text, n_chars (code points), repeated_tokens (tokens of its blocks within repeated runs)."""
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit(""))
-    cleaned = remove_repeats(rest.withColumn("host", host)).withColumn("n_chars", F.char_length("text").cast("long"))
-    return _parsed(d.where(marked)).unionByName(cleaned.select("page_id", "url", "text", "n_chars"))
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    sizes = d.groupBy("host").agg(F.sum(F.octet_length("html")).alias("n")).where(F.col("n") > shard_bytes)
+    # hosts of several shards: at most the table's bytes / shard_bytes rows
+    large = stored(sizes.select("host", F.ceil(F.col("n") / shard_bytes).cast("long").alias("of")), "hosts")
+    dealt = join_small(d, large, ["host"]).select(F.coalesce("of", F.lit(1)).alias("of"), "page_id", "url", "host", "html")
+    parsed = _parsed(dealt)
+    shared = stored(_exchange(_parsed(dealt.where("of > 1")), run, on_pages), "runs")
+    none = {"array<string>": F.array().cast("array<string>"), "array<boolean>": F.array().cast("array<boolean>"), "array<int>": F.array().cast("array<int>")}
+    names = [x.split(" ", 1) for x in _PARSED.split(", ")]
+    extra = shared.withColumn("part", F.lit(0)).select(*[(F.col(c) if c in ("host", "shard", "seen", "part") else none.get(t, F.lit(None)).cast(t)).alias(c) for c, t in names])
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for _, _, rows in _shards(batches):
+            seen = [np.frombuffer(r["seen"], np.uint64) for r in rows if not r["part"]]
+            rows = [r for r in rows if r["part"]]
+            array, own = _array_of(rows, words)
+            repeated = array.groups()[1] >= on_pages
+            if seen:
+                repeated |= np.isin(array.fingerprints(run), np.concatenate(seen))
+            covered = array.covered(repeated, run)
+            for lo in range(0, len(rows), 500):
+                part = rows[lo : lo + 500]
+                texts = ["\n".join(choose(Page(r["marked"], r["texts"], r["main"], r["article"]), covered[k])) for r, k in zip(part, own[lo:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in part], pa.int64()), pa.array([r["url"] for r in part], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(covered[k].sum()) for k in own[lo : lo + 500]], pa.int64())], [x.split()[0] for x in _OUTPUT.split(", ")])
+
+    together = parsed.unionByName(extra).repartition("host", "shard").sortWithinPartitions("host", "shard", "part")
+    return in_arrow(together, write, _OUTPUT)

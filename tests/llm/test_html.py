@@ -3,7 +3,10 @@
 import html as references
 import random
 import re
+import time
 
+import numpy as np
+import pytest
 from stratalens.llm import html
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{margin:0}</style><script>var t="</p><article>";</script></head><body>
@@ -31,33 +34,79 @@ def test_table_pages(spark, data):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
-def test_repeats_against_all_pairs(spark):
+def covered(texts, run=8, pages=3):
+    """By text, which tokens are covered, from the definition: all runs of every distinct stream."""
+    streams = {" ".join(t.split()) for t in texts}
+    runs = {s: {tuple(s.split()[i : i + run]) for i in range(len(s.split()) - run + 1)} for s in streams}
+    count = {}
+    for r in runs.values():
+        for x in r:
+            count[x] = count.get(x, 0) + 1
+    out = {}
+    for t in texts:
+        tokens, gone = t.split(), set()
+        for k in range(len(tokens) - run + 1):
+            if count[tuple(tokens[k : k + run])] >= pages:
+                gone |= set(range(k, k + run))
+        out[t] = gone
+    return out
+
+
+@pytest.mark.parametrize("shard", [html.SHARD_BYTES, 700])
+def test_repeats_against_all_pairs(spark, shard):
     rng = random.Random(2)
     common = [f"c{i}" for i in range(25)]
     pages = []
-    for i in range(40):
+    for i in range(60):
         own = [f"u{rng.randrange(60)}" for _ in range(rng.randrange(30))]
-        pages.append((i, f"h{i % 3}", " ".join(own[:9]) + "\n" + " ".join(common[rng.randrange(9) :][: rng.randrange(20)]) + "\n" + " ".join(own[9:])))
-    got = {r.id: r.text for r in html.remove_repeats(spark.createDataFrame(pages, "id long, host string, text string")).collect()}
-    runs = lambda t: {tuple(t.split()[i : i + 8]) for i in range(len(t.split()) - 7)}
-    for i, host, text in pages:
-        others = [runs(t) for j, h, t in pages if h == host]
-        tokens, gone = text.split(), set()
-        for k in range(len(tokens) - 7):
-            if sum(tuple(tokens[k : k + 8]) in o for o in others) >= 3:
-                gone |= set(range(k, k + 8))
-        want, at = [], 0
-        for line in text.split("\n"):
-            n = len(line.split())
-            want.append(" ".join(tokens[k] for k in range(at, at + n) if k not in gone))
-            at += n
-        assert got[i] == "\n".join(w for w in want if w) or (not gone and got[i] == text)
+        pages.append((i, f"http://h{i % 2}/x", " ".join(own[:9]) + "\n" + " ".join(common[rng.randrange(9) :][: rng.randrange(20)]) + "\n" + " ".join(own[9:])))
+    pages += [(100 + i, u, t) for i, (_, u, t) in enumerate(pages[:20])]
+    rows = [(i, u, "".join(f"<p>{x}</p>" for x in t.split("\n"))) for i, u, t in pages]
+    got = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_bytes=shard).collect()}
+    assert len(got) == len(rows) and sum(r.repeated_tokens for r in got.values()) > 300
+    for host in ("http://h0/x", "http://h1/x"):
+        gone = covered([t for _, u, t in pages if u == host])
+        for i, _, text in [p for p in pages if p[1] == host]:
+            want, at = [], 0
+            for line in text.split("\n"):
+                n = len(line.split())
+                want.append(" ".join(w for k, w in enumerate(line.split(), at) if k not in gone[text]))
+                at += n
+            assert got[i].text == "\n".join(w for w in want if w)
+            assert got[i].repeated_tokens == len(gone[text])
+
+
+def test_array_is_sorted_and_complete():
+    rng = np.random.default_rng(4)
+    for run in (1, 3, 5, 8):
+        streams = [rng.integers(1, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(12)]
+        array = html.HostArray.build(streams, run)
+        suffix = lambda i: tuple(array.text[i : i + run])
+        assert [suffix(i) for i in array.at] == sorted(suffix(i) for i in array.at)
+        assert len(array.at) == sum(max(0, len(s) - run + 1) for s in streams)
+        number, pages = array.groups()
+        for k in range(len(pages)):
+            mine = {suffix(i) for i in array.at[number == k]}
+            assert len(mine) == 1
+            assert pages[k] == sum(any(tuple(s[j : j + run]) in mine for j in range(len(s) - run + 1)) for s in streams)
+        assert len(set(array.fingerprints(run).tolist())) == len(pages)
+
+
+def test_every_page_goes_through_the_array(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    got = {r.page_id: r.repeated_tokens for r in html.main_text(spark.createDataFrame(pages)).collect()}
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(re.match(r"\w+://([^/?#]*)", r.url)[1] if r.url else "", {})[r.page_id] = "\n".join(html.parse(r.html).texts)
+    for texts in hosts.values():
+        gone = covered(list(texts.values()))
+        assert all(got[i] == len(gone[t]) for i, t in texts.items())
 
 
 def test_odd_rows(spark):
     bare = "<body><p>About us and our company terms and conditions here today</p><p>own text {}</p>"
     rows = [(None, None, None), (1, "x", ""), (2, "http://a.b/", PAGE), (2, "http://a.b/", PAGE)] + [(10 + i, "http://h/" + str(i), bare.format(i)) for i in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS id", "'h' AS host")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS id", "'h' AS host", "2 AS shard", "3 AS of")
     got = html.main_text(df).collect()
     assert len(got) == len(rows)
     assert sorted(r.text for r in got if r.page_id and r.page_id >= 10) == [str(i) for i in range(5)]  # "own text" stands in repeated runs
@@ -102,3 +151,28 @@ def test_articles_that_are_not_the_text():
     assert html.blocks("<article>Short</article>" + said) == (True, ["Short"])
     assert html.blocks("<div class='sidebar'><nav><main>no</main></nav></div><p>yes") == (False, ["yes"])
     assert html.blocks("<main><h1>Title</h1><div class='sidebar'><article>The whole article is here.</article></div></main>") == (True, ["Title", "The whole article is here."])
+
+
+def test_comments_ids_and_teasers(spark):
+    main = "<main><article><h1>Title</h1><h2 id='related-work'>Related work</h2><p id='menu'>The menu of the day, told at length and with care.</p></article>"
+    want = ["Title", "Related work", "The menu of the day, told at length and with care."]
+    assert html.blocks(main + "<article class='comment'>I agree</article></main>") == (True, want)
+    assert html.blocks(main + "<article class='user-comment-3 odd'>I agree at great length, and this is why I do so every day and all of the night.</article></main>") == (True, want)
+    assert html.blocks(main + "<article><a href='/x'>Next</a></article></main>") == (True, want)
+    assert html.blocks("<!-- <article> --><script>'<main>'</script><p>All of it</p>") == (False, ["All of it"])
+    assert html.blocks("<p class='ad'>Buy<p>Text") == (False, ["Text"])
+    # a teaser as long as the article goes once it stands on three pages
+    teaser = "<article>" + " ".join(f"t{i}" for i in range(12)) + "</article>"
+    rows = [(i, "http://a.b/c", f"<article><p>{' '.join(f'own{i}x{k}' for k in range(14))}</p></article>{teaser if i < 3 else ''}") for i in range(4)]
+    rows += [(9, "http://x.y/", f"<article>{' '.join(f'z{k}' for k in range(14))}</article>{teaser}")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(f"own{i}x{k}" for k in range(14)) for i in range(4))
+    assert got[9].endswith("t11")  # once on its host, so it stays
+
+
+def test_time_is_linear_in_nesting():
+    began = time.process_time()
+    for page in ("<div>" * 200_000, "<p>x" + "<object>" * 3000 + "<div>" * 100_000, "<p>a<b>" * 100_000, "</div>" * 200_000 + "<div>" * 100_000, "<main><article>" * 50_000):
+        html.blocks(page)
+    assert time.process_time() - began < 15
+    assert html.blocks("<article>" + "<div>" * 200_000 + "deep" + "</div>" * 200_000 + "<p>end</article><p>x")[1] == ["deep", "end"]
