@@ -9,9 +9,9 @@ article named as a comment, reply or teaser is left out like any such element.
 
 All pages of a host then go through its suffix array: the token streams of its distinct pages
 (equal streams are one page) stand one after another with a mark of its own between two, their
-suffixes are sorted by prefix doubling, and where RUN tokens or more agree between suffixes of
+suffixes are sorted by prefixes of growing length, and where RUN tokens or more agree between suffixes of
 PAGES or more pages, the run is repeated. Order beyond RUN tokens does not change what is covered,
-so doubling ends there. What the two say together:
+so sorting ends there. What the two say together:
 
 * a page that marks its main part (main, article, role=main): that part, whole, since the same
   text on several pages is theirs nonetheless. Of several articles the longest stays; another one
@@ -45,7 +45,7 @@ from .common import in_arrow, join_small, stored
 
 RUN, PAGES = 8, 3
 #: Bytes of html that a shard of a host holds.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 #: An article of this share of the longest one's characters, or less, is a teaser.
 TEASER = 0.2
 
@@ -300,13 +300,18 @@ class HostArray:
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64) if n else np.zeros(0, np.int64)
         marks = starts[1:] - 1
         rank[marks] = n + np.arange(len(marks))  # a mark of its own after every page
-        width = 1
+        bits = int(2 * n + 2).bit_length()
+        width, most = 1, max(2, 63 // bits)
         while width < run:
-            step = min(width, run - width)
-            ahead = np.full(n, -1, np.int64)
-            ahead[: n - step] = rank[step:]
-            rank = np.unique(rank * (2 * n + 2) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-            width += step
+            # as many neighbouring ranks as a number holds, the last ones overlapping where less is wanted
+            steps = [min(k * width, run - width) for k in range(1, most) if (k - 1) * width < run - width]
+            packed = rank + 1
+            for step in steps:
+                ahead = np.zeros(n, np.int64)
+                ahead[: max(0, n - step)] = rank[step:] + 1
+                packed = (packed << bits) | ahead
+            rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+            width += steps[-1]
         page = np.repeat(np.arange(len(streams)), np.diff(starts))
         left = starts[page + 1] - 1 - np.arange(n) if n else np.zeros(0, np.int64)
         full = np.flatnonzero(left >= run)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -136,22 +137,58 @@ def _gzip(d: bytes, i: int) -> int:
         return 0
 
 
+class _Marks:
+    """Where end marks stand in the value at hand, looked up once per value; many begin marks would search the rest again and again."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.known:
+            out, at = [], self.data.find(mark)
+            while at >= 0:
+                out.append(at)
+                at = self.data.find(mark, at + len(mark))
+            self.known[mark] = out
+        return self.known[mark]
+
+    def archives(self) -> dict[int, int]:
+        """End by start of every central directory end that says where its archive begins; the first one of equal starts."""
+        if b"archives" not in self.known:
+            found: dict[int, int] = {}
+            for at in self.places(b"PK\5\6"):
+                if at + 22 <= len(self.data):
+                    size, offset, note = struct.unpack_from("<IIH", self.data, at + 12)
+                    if at + 22 + note <= len(self.data):
+                        found.setdefault(at - size - offset, at + 22 + note)
+            self.known[b"archives"] = found
+        return self.known[b"archives"]
+
+
+_marks: list[_Marks] = []
+
+
+def _marks_of(d: bytes) -> _Marks:
+    if not _marks or _marks[0].data is not d:
+        _marks[:] = [_Marks(d)]
+    return _marks[0]
+
+
 def _zip(d: bytes, i: int) -> int:
-    at = i
-    while (at := d.find(b"PK\5\6", at)) >= 0:
-        if at + 22 <= len(d):
-            size, offset, note = struct.unpack_from("<IIH", d, at + 12)
-            if i + offset + size == at and at + 22 + note <= len(d):
-                return at + 22 + note
-        at += 4
-    return 0
+    return _marks_of(d).archives().get(i, 0)
 
 
 def _pdf(d: bytes, i: int) -> int:
-    end = d.find(b"%%EOF", i)
-    while end >= 0 and (later := d.find(b"%%EOF", end + 5)) >= 0 and d.find(b"%PDF-", end, later) < 0:
-        end = later
-    return end + 5 if end >= 0 and d.find(b"startxref", i, end) >= 0 else 0
+    marks = _marks_of(d)
+    ends, begins, tables = (marks.places(m) for m in (b"%%EOF", b"%PDF-", b"startxref"))
+    k = bisect_left(ends, i)
+    if k == len(ends):
+        return 0
+    # later ends belong to the same document as long as no other begins before them
+    n = bisect_left(begins, ends[k])
+    end = ends[bisect_left(ends, begins[n]) - 1] if n < len(begins) else ends[-1]
+    t = bisect_left(tables, i)
+    return end + 5 if t < len(tables) and tables[t] < end else 0
 
 
 def _ogg(d: bytes, i: int) -> int:
@@ -216,6 +253,7 @@ def structures(data: bytes) -> list[Found]:
             kind = FORMATS[k][2] if FORMATS[k][0] != b"RIFF" else _RIFF[data[start + 8 : start + 12]]
             out.append(Found(kind, start, stop))
             end = stop
+    _marks.clear()
     return out
 
 
@@ -301,24 +339,35 @@ def from_bmp(media: bytes) -> bytes:
 
 CODECS = {"image/png": (to_png, from_png), "audio/wav": (to_wav, from_wav), "image/bmp": (to_bmp, from_bmp)}
 _FIELDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "declared": pa.string()}
+#: What a message puts before and after a medium that it carries.
+HEAD, TAIL = b"content-transfer: binary\r\n\r\n", b"\r\n--\r\n"
+
+
+def stored_form(data: bytes) -> tuple[bytes, str | None]:
+    """(a payload's stored form, the type that a careless source declares).
+
+    Container, declaration and envelope follow from the payload's checksum, so equal texts are
+    stored alike: one of the CODECS; its right type, another one, none or OTHER; and for one in
+    four the medium stands inside a message.
+    """
+    kinds, crc = list(CODECS), zlib.crc32(data)
+    k, how, inside = crc % len(kinds), crc // 3 % 4, crc // 12 % 4 == 0
+    medium = CODECS[kinds[k]][0](data)
+    return HEAD + medium + TAIL if inside else medium, [kinds[k], kinds[(k + 1) % len(kinds)], None, OTHER][how]
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Every text's payload as a medium: doc_id, n_bytes, media binary, declared (the type a careless source names).
+    """Every text's payload as a medium: doc_id, n_bytes, media binary, declared (for sniffing to confirm or correct).
 
-    The container follows from the payload's checksum, so equal texts are stored alike; every
-    declared type is that of the next container, for sniffing to correct.
+    Rows repeat as they do in `docs`; null texts are stored as empty ones. Only doc_id and text are read.
     """
-    kinds = list(CODECS)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 200):
                 out = []
                 for doc_id, text in zip(*(c.to_pylist() for c in big.slice(lo, 200).columns), strict=True):
-                    data = payload(text)
-                    k = zlib.crc32(data) % len(kinds)
-                    out.append((doc_id, len((text or "").encode("utf-8")), CODECS[kinds[k]][0](data), kinds[(k + 1) % len(kinds)]))
+                    out.append((doc_id, len((text or "").encode("utf-8")), *stored_form(payload(text))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FIELDS.values(), strict=True)], list(_FIELDS))
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, n_bytes long, media binary, declared string")
@@ -327,20 +376,34 @@ def store(docs: DataFrame) -> DataFrame:
 _READ = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media_type": pa.string(), "embedded": pa.int64()}
 
 
+def decoded(data: bytes, declared: str | None) -> tuple[bytes, str, str, int]:
+    """(payload, type, feature, embedded media) of stored bytes.
+
+    The validator's structure says where the medium begins and ends: at the first byte, or else the
+    first one carved out of what surrounds it. Bytes without a structure that CODECS reads are the
+    payload themselves. feature: type;declared, corrected or undeclared;bytes of the
+    structure;embedded ones.
+    """
+    found = structures(data)
+    kind = found[0].kind if found and found[0].start == 0 else "" if not data else OTHER
+    inside = [f for f in found if f.start]
+    medium = next((f for f in found if f.kind in CODECS), None)
+    got = CODECS[medium.kind][1](data[medium.start : medium.end]) if medium else data
+    said = "undeclared" if declared is None else "declared" if declared == kind else "corrected"
+    size = medium.end - medium.start if medium else len(data)
+    return got, kind, f"{kind};{said};{size};" + ",".join(f"{f.kind}@{f.start}+{f.end - f.start}" for f in inside), len(inside)
+
+
 def read_back(media: DataFrame, tail: int = 32) -> DataFrame:
-    """Sniffs and decodes stored payloads: digests of what was read, and feature "type;declared;bytes of structure;embedded ones"."""
+    """Sniffs, carves and decodes stored payloads: digests of what was read, and what was found (see decoded())."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 200):
                 out = []
                 for doc_id, n, data, declared in zip(*(c.to_pylist() for c in big.slice(lo, 200).columns), strict=True):
-                    kind, right, inside = sniff(data, declared)
-                    found = structures(data)[0] if inside else None
-                    size = found.end if found else len(data)
-                    got = CODECS[kind][1](data)
-                    feature = f"{kind};{'declared' if right else 'corrected'};{size};" + ",".join(f"{f.kind}@{f.start}+{f.end - f.start}" for f in inside)
-                    out.append((doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-tail:]), len(data), hashlib.sha256(data).hexdigest(), feature, kind, len(inside)))
+                    got, kind, feature, inside = decoded(data, declared)
+                    out.append((doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-tail:]), len(data), hashlib.sha256(data).hexdigest(), feature, kind, inside))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _READ.values(), strict=True)], list(_READ))
 
     names = {pa.int64(): "long", pa.string(): "string"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitpack, fingerprints, html, licenses, media, mixing, neardup, packing, pii, toxicity
-from .common import new_path, table
+from .common import new_path, stored, table
 
 
 #: Tokenizers, trained models, container formats and hashes of our own have no SQL; those queries are held against brute force in tests.
@@ -28,7 +28,7 @@ HELD_OUT = "coalesce(crc32(CAST(doc_id AS STRING)) % 3 = 1, false)"
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+    return media.read_back(stored(media.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
@@ -53,18 +54,46 @@ def test_round_trip(text):
 
 
 def test_query(spark):
-    texts = [None, "", "x" * 576, "GIF89a PK\3\4 %PDF- BM RIFF", "é" * 100_000, "same", "same"]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id")], "doc_id long, text string").selectExpr("*", "'a' AS media", "1 AS n_bytes")
+    texts = [None, "", "x" * 576, "GIF89a PK\3\4 %PDF- BM RIFF", "é" * 100_000, "same", "same"] + [f"text {i} " * (i % 70) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id")], "doc_id long, text string").selectExpr("*", "'a' AS media", "1 AS n_bytes", "2 AS declared")
     got = media.read_back(media.store(df)).collect()
     assert len(got) == len(texts) + 1
+    said, carved = set(), 0
     for r in got:
         data = media.payload("no id" if r.doc_id is None else texts[r.doc_id])
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-        assert r.feature.startswith(f"{r.media_type};corrected;{r.media_bytes};")
+        # the stored form, built here from the checksum of the payload
+        crc, kinds = zlib.crc32(data), ["image/png", "audio/wav", "image/bmp"]
+        kind = kinds[crc % 3]
+        medium = {"image/png": media.to_png, "audio/wav": media.to_wav, "image/bmp": media.to_bmp}[kind](data)
+        declared = [kind, kinds[(crc + 1) % 3], None, media.OTHER][crc // 3 % 4]
+        form = media.HEAD + medium + media.TAIL if crc // 12 % 4 == 0 else medium
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        seen = media.OTHER if form is not medium else kind
+        how = "undeclared" if declared is None else "declared" if declared == seen else "corrected"
+        inside = f"{kind}@{len(media.HEAD)}+{len(medium)}" if form is not medium else ""
+        assert (r.media_type, r.feature, r.embedded) == (seen, f"{seen};{how};{len(medium)};{inside}", int(form is not medium))
+        said.add(how)
+        carved += r.embedded
+    assert said == {"undeclared", "declared", "corrected"} and 0 < carved < len(got)
     a, b = (r for r in got if r.doc_id in (5, 6))
     assert a[1:] == b[1:]
 
 
+def test_what_no_codec_reads_is_the_payload():
+    assert media.decoded(b"", None) == (b"", "", "undeclared".join([";", ";0;"]), 0)
+    assert media.decoded(b"plain", "text/plain")[:2] == (b"plain", media.OTHER)
+    assert media.decoded(GIF, "image/gif") == (GIF, "image/gif", f"image/gif;declared;{len(GIF)};", 0)
+    assert media.decoded(b"--" + media.to_wav(b"ab"), None)[0] == b"ab"
+
+
+def test_many_begin_marks_take_linear_time():
+    began = time.process_time()
+    for data in (b"%PDF-" * 200_000 + b"startxref %%EOF", b"%PDF-" * 200_000, b"PK\3\4" * 200_000 + b"PK\5\6" * 50_000, b"%PDF- %%EOF" * 50_000, b"startxref" * 1000 + b"%PDF-%%EOF" * 50_000):
+        media.structures(data)
+    assert time.process_time() - began < 10
+
+
 def test_sniff_column(spark):
     df = spark.createDataFrame([(1, GIF, "image/png"), (2, b"--" + AU, None), (3, None, ""), (4, b"", "x")], "id long, body binary, declared string").withColumn("embedded", __import__("pyspark").sql.functions.lit(0))
     got = {r.id: r for r in media.sniff_column(df, "body", "declared").collect()}
