@@ -45,7 +45,9 @@ from .common import in_arrow, join_small, stored
 
 RUN, PAGES = 8, 3
 #: Bytes of html that a shard of a host holds.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 8 << 20
+#: Shards whose fingerprints meet in one slice of the exchange.
+PER_SLICE = 16
 #: An article of this share of the longest one's characters, or less, is a teaser.
 TEASER = 0.2
 
@@ -403,7 +405,7 @@ def _exchange(parsed: DataFrame, run: int, pages: int) -> DataFrame:
         for host, shard, rows in _shards(batches):
             array, _ = _array_of(rows, words)
             counts, prints = np.minimum(array.groups()[1], pages), array.fingerprints(run)
-            of = rows[0]["of"]
+            of = -(-rows[0]["of"] // PER_SLICE)
             for k in range(of):
                 mine = prints % np.uint64(of) == k
                 order = np.argsort(prints[mine])
