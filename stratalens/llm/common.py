@@ -91,9 +91,18 @@ def collecting() -> Iterator[list[str]]:
     found += [p for p in _written if p not in before]
 
 
-def release(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
-    """Deletes tables of stored(), stored_buckets() and new_path(), but those that `keep` reads; `paths` keeps what stays."""
-    used = keep.inputFiles() if keep is not None and paths else []
+def settle(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables written since `before` (a snapshot of written()) that none of `keep` reads: what a long operator is done with."""
+    release(spark, [p for p in _written if p not in before], *keep)
+
+
+def written() -> set[str]:
+    return set(_written)
+
+
+def release(spark: SparkSession, paths: list[str], *keep: DataFrame) -> None:
+    """Deletes tables of stored(), stored_buckets() and new_path(), but those that one of `keep` reads; `paths` keeps what stays."""
+    used = [f for d in keep for f in d.inputFiles()] if paths else []
     held = {f.rsplit("/", 1)[0].split("/")[-1] for f in used}
     for path in [p for p in paths if p.split("/")[-1] not in held]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

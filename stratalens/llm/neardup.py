@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, stored, stored_buckets
+from .common import in_arrow, settle, stored, stored_buckets, written
 
 SHINGLE, PERCENT = 5, 85
 POSITIONS, TREES, DEPTH, LIMIT = 64, 12, 4, 512
@@ -307,7 +307,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document of (doc_id, text): doc_id, n_shingles, component_id, kept. Links are of Jaccard similarity percent / 100 or more."""
-    second = second_pick(percent)
+    second, spark, before = second_pick(percent), docs.sparkSession, written()
     sets, reps = classes_of(docs)
     with_sig = lambda rows: rows.join(reps.select("key", "did", "n", "sig"), "key")
     sized = lambda rows, mark: rows.withColumn("task", _hash("node", F.pmod(_hash("key"), F.ceil(F.col("size") / LIMIT)), F.lit(mark)))
@@ -318,9 +318,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = reps.select("key", F.col("key").alias("comp"))
     first = stored(_mixed(_branch(reps.withColumn("comp", F.col("key")), _SLIM, second, roots([0])).groupBy("key", "comp").agg(F.min("node").alias("node"))), "nodes")
     comps = stored(apply(comps, resolve(sized(first, 1))), "comps")
+    settle(spark, before, sets, reps, comps, first)
     # Its roots, at the nodes that were cut into chunks.
     again = _mixed(first.where(f"size > {LIMIT}").select("node", "key").join(comps, "key").where("key = comp").select("node", "key", "comp"))
     comps = stored(apply(comps, resolve(sized(again, 2))), "comps")
+    settle(spark, before, sets, reps, comps)
 
     # All trees, down to small nodes; then blocks of the nodes that stay large.
     rows = _branch(reps.select("key", "sig").join(comps, "key"), _SLIM, second, roots(range(TREES)))
@@ -329,13 +331,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows = stored(_mixed(rows.distinct()), "nodes")
         small = rows.where(f"size <= {LIMIT}").withColumn("task", _hash("node", F.lit(3)))
         leaves = small if leaves is None else leaves.unionByName(small)
+        settle(spark, before, sets, reps, comps, leaves, rows)
         rows = rows.where(f"size > {LIMIT}")
         if depth < DEPTH:
             rows = _branch(rows.join(reps.select("key", "sig"), "key"), _SLIM, second)
     large = rows.withColumn("parts", F.ceil(F.col("size") / (LIMIT // 2)).cast("int")).withColumn("i", F.pmod(_hash("key"), F.col("parts")).cast("int"))
     large = large.withColumn("j", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("task", _hash("node", F.least("i", "j"), F.greatest("i", "j"), F.lit(4)))
-    found = components(resolve(leaves.select("task", "key", "comp").unionByName(large.select("task", "key", "comp"))))
-    comps = apply(comps, found)
+    links = resolve(leaves.select("task", "key", "comp").unionByName(large.select("task", "key", "comp")))
+    settle(spark, before, sets, reps, comps, links)
+    found = components(links)
+    comps = stored(apply(comps, found), "comps")
+    settle(spark, before, sets, reps, comps)
 
     own = reps.select("key", F.nullif("did", F.lit(NO_ID)).alias("did")).join(comps, "key")
     least = own.groupBy("comp").agg(F.min("did").alias("component_id"))
