@@ -5,24 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOCALHOST = r"(?:localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\]):[0-9]{2,5}"
-LOCAL_PATH = r"(?:/Users/|/home/|C:\\Users\\)[A-Za-z0-9._-]+"
-CODE_LIKE = r"[;{}]\s*$|^\s*(?:if|for|while|return|def|class|import|const|let|var|function)\b|\w+\(.*\)\s*$|\w\s*=\s*\w"
-
-
-def comment_runs(lines: DataFrame, comment: str = r"^\s*(?:#|//)", least: int = 4, code: int = 3) -> DataFrame:
-    """Runs of at least `least` comment lines of which `code` look like code: file, first, last, code_lines. lines: (file, line, content)."""
-    d = lines.where(F.col("content").rlike(comment)).withColumn("_code", F.regexp_replace("content", comment, "").rlike(CODE_LIKE))
-    w = Window.partitionBy("file").orderBy("line")
-    g = d.withColumn("_g", F.col("line") - F.row_number().over(w)).groupBy("file", "_g").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.count_if("_code").alias("code_lines"))
-    return g.where((F.col("last") - F.col("first") + 1 >= least) & (F.col("code_lines") >= code)).drop("_g")
-
-
-def finder_duplicates(files: DataFrame) -> DataFrame:
-    """Paths such as "name 2.ext"."""
-    return files.where(F.col("file").rlike(r" [2-9]\.[A-Za-z0-9]+$"))
-
-
 def duplicated_navigation(entries: DataFrame, least_files: int = 2, least_labels: int = 2) -> DataFrame:
     """Destinations with several labels in several files. entries: (file, target, label)."""
     g = entries.groupBy("target").agg(F.countDistinct("file").alias("files"), F.countDistinct("label").alias("labels"), F.min("file").alias("anchor"))
@@ -85,11 +67,6 @@ def capped(findings: DataFrame, part: str, caps: int, *order: Column) -> DataFra
     return findings.withColumn("_rn", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col("_rn") <= caps).drop("_rn")
 
 
-def raster_size(assets: DataFrame, size: str) -> DataFrame:
-    kb = F.col(size) / 1000.0
-    return assets.withColumn("severity", F.when(kb >= 1000, "high").when(kb >= 500, "medium").when(kb >= 200, "low")).where("severity IS NOT NULL")
-
-
 def pass_rates(results: DataFrame, agent: str, passed: str, total: str) -> DataFrame:
     g = results.groupBy(agent).agg(F.sum(passed).alias("passed"), F.sum(total).alias("total"))
     return g.withColumn("rate", F.when(F.col("total") > 0, F.col("passed") / F.col("total")).otherwise(0.0))

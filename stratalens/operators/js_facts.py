@@ -6,8 +6,8 @@ sites are found by their token patterns. Facts about imports, literals, comments
 reads and clock reads are exact; those about functions and handlers are approximate.
 
 facts(): (file, kind, name, owner, line, end_line, n, flag, detail). kinds: import (flag: type
-only, detail: static or dynamic), literal, comment (n: lines), env (detail: default), clock,
-function, clone (name: shape hash, detail: exact hash, n: tokens), handler (detail: empty, log or
+only, detail: static or dynamic), literal, comment (n: lines), env (detail: default), clock (flag: compared
+or reckoned with), function, clone (name: shape hash, detail: exact hash, n: tokens), handler (detail: empty, log or
 other), fetch (name: path, detail: method), sync_io, style (raw style values), error.
 """
 
@@ -50,16 +50,33 @@ def tokens(source: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def _closing(code: list[tuple[str, str, int]], i: int) -> int:
-    """The index of the bracket that closes the one at i, or the last token."""
-    pairs, depth = {"{": "}", "(": ")", "[": "]"}, 0
-    opening, closing = code[i][1], pairs[code[i][1]]
-    for k in range(i, len(code)):
-        if code[k][0] == "mark":
-            depth += (code[k][1] == opening) - (code[k][1] == closing)
-            if not depth:
-                return k
-    return len(code) - 1
+def _brackets(code: list[tuple[str, str, int]]) -> dict[int, int]:
+    """The index of every bracket's partner, both ways; an opening one without a partner has the last token's."""
+    closes, open_at, out = {"}": "{", ")": "(", "]": "["}, {"{": [], "(": [], "[": []}, {}
+    for k, (kind, text, _) in enumerate(code):
+        if kind != "mark":
+            continue
+        if text in open_at:
+            open_at[text].append(k)
+        elif text in closes and open_at[closes[text]]:
+            i = open_at[closes[text]].pop()
+            out[i], out[k] = k, i
+    return {i: len(code) - 1 for left in open_at.values() for i in left} | out
+
+
+def _owners(spans: list[tuple[int, int, str]], n: int) -> list[str]:
+    """For every token the name of the innermost function around it."""
+    out, open_now, at = [""] * n, [], 0
+    spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+    for i in range(n):
+        while at < len(spans) and spans[at][0] == i:
+            open_now.append(spans[at])
+            at += 1
+        while open_now and open_now[-1][1] < i:
+            open_now.pop()
+        if open_now:
+            out[i] = open_now[-1][2]
+    return out
 
 
 def _named_at(code: list[tuple[str, str, int]], j: int) -> int:
@@ -86,24 +103,20 @@ def of_source(file: str, source: str | None) -> list[tuple]:
     out: list[tuple] = []
     spans: list[tuple[int, int, str]] = []
     texts = [t[1] for t in code]
+    partner, last_import = _brackets(code), None
     add = lambda kind, name, line, end=None, n=None, flag=None, detail=None, owner="": out.append((file, kind, name, owner, line, end, n, flag, detail))
     bare = lambda s: s[1:-1] if len(s) > 1 and s[-1] == s[0] else s[1:]
     for i, (_, text, _) in enumerate(code):
         if text == "{" and i and texts[i - 1] in (")", "=>"):
             if texts[i - 1] == ")":
-                depth, k = 0, i - 1
-                while k >= 0:
-                    depth += (texts[k] == ")") - (texts[k] == "(")
-                    if not depth:
-                        break
-                    k -= 1
+                k = partner.get(i - 1, -1)
                 name = texts[k - 1] if k > 0 and code[k - 1][0] == "name" else ""
             else:
                 k = _named_at(code, i - 2)
                 name = texts[k - 1] if k else ""
             if name in _KEYWORDS - {"function", "get", "set"}:
                 continue
-            end = _closing(code, i)
+            end = partner.get(i, len(code) - 1)
             name = "" if name == "function" else name
             spans.append((i, end, name))
             add("function", name, code[k - 1 if k > 0 else i][2], code[end][2], end - i)
@@ -113,37 +126,42 @@ def of_source(file: str, source: str | None) -> list[tuple]:
                 shape = [f"${seen.setdefault(t, len(seen))}" if k == "name" and t not in _KEYWORDS else k if k in ("string", "number", "template") else t for k, t, _ in body]
                 digest = lambda xs: hashlib.sha1(" ".join(xs).encode("utf-8", "replace")).hexdigest()
                 add("clone", digest(shape), code[i][2], code[end][2], len(body), None, digest([t for _, t, _ in body]), name)
-    smallest = sorted(spans, key=lambda s: s[1] - s[0])
-    owner_of = lambda i: next((n for a, b, n in smallest if a <= i <= b), "")
+    owners = _owners(spans, len(code))
+    owner_of = owners.__getitem__
     for i, (kind, text, line) in enumerate(code):
         after = texts[i + 1 : i + 8]
         before = texts[max(0, i - 3) : i]
+        if kind == "name" and text in ("import", "export"):
+            last_import = i
         if kind in ("string", "template") and text[:1] != "`":
             if before[-1:] == ["from"] or before[-1:] == ["import"]:
-                start = max((j for j in range(max(0, i - 80), i) if texts[j] in ("import", "export")), default=i)
+                start = i if last_import is None else last_import
                 add("import", bare(text), line, None, None, texts[start + 1 : start + 2] == ["type"], "static")
                 continue
             if before[-2:] in (["import", "("], ["require", "("]):
                 add("import", bare(text), line, None, None, False, "dynamic")
                 continue
-            add("literal", bare(text)[:200], line, owner=owner_of(i))
+            add("literal", bare(text), line, owner=owner_of(i))
             if _STYLE.match(bare(text)):
-                add("style", bare(text)[:80], line)
+                add("style", bare(text), line)
         elif kind == "name":
             if text == "process" and after[:3] == [".", "env", "."] and len(after) > 3:
                 rest = after[4:6]
                 add("env", after[3], line, detail=rest[1] if rest[:1] in (["??"], ["||"]) and len(rest) > 1 else None, owner=owner_of(i))
             elif text == "Date" and (after[:2] == [".", "now"] or before[-1:] == ["new"] and after[:2] == ["(", ")"]):
-                add("clock", "Date.now" if after[0] == "." else "new Date", line, owner=owner_of(i))
+                now = after[0] == "."
+                # Date.now() or new Date(): what stands before and after the call
+                around = texts[i - (1 if now else 2) : i - (0 if now else 1)] + texts[i + (5 if now else 3) : i + (6 if now else 4)]
+                add("clock", "Date.now" if now else "new Date", line, flag=any(t in ("<", ">", "-", "+") for t in around), owner=owner_of(i))
             elif text == "catch":
                 at = i + 1
                 if at < len(code) and texts[at] == "(":
-                    at = _closing(code, at) + 1
+                    at = partner.get(at, len(code) - 1) + 1
                 if at < len(code) and texts[at] == "{":
-                    body = texts[at + 1 : _closing(code, at)]
+                    body = texts[at + 1 : partner.get(at, len(code) - 1)]
                     add("handler", "catch", line, n=len(body), detail="empty" if not body else "log" if body[0] == "console" and "throw" not in body and body.count(";") <= 1 else "other", owner=owner_of(i))
             elif text == "fetch" and after[:1] == ["("] and i + 2 < len(code) and code[i + 2][0] in ("string", "template"):
-                method = next((bare(texts[j + 2]) for j in range(i, min(i + 20, len(code) - 2)) if texts[j] == "method" and texts[j + 1] == ":"), "GET")
+                method = next((bare(texts[j + 2]) for j in range(i, min(partner.get(i + 1, len(code)), len(code) - 2)) if texts[j] == "method" and texts[j + 1] == ":"), "GET")
                 add("fetch", bare(texts[i + 2]), line, detail=method.upper(), owner=owner_of(i))
             elif text.endswith("Sync") and after[:1] == ["("]:
                 add("sync_io", text, line, owner=owner_of(i))
@@ -154,7 +172,7 @@ def of_source(file: str, source: str | None) -> list[tuple]:
             continue
         if block:
             body = "\n".join(t for t, _ in block)
-            add("comment", body[:500], block[0][1], block[-1][1] + block[-1][0].count("\n"), body.count("\n") + 1)
+            add("comment", body, block[0][1], block[-1][1] + block[-1][0].count("\n"), body.count("\n") + 1)
         block = [(text, line)] if kind == "comment" else []
     return out
 

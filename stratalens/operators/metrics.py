@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def variance_band(samples: DataFrame, group: str, value: str) -> DataFrame:
     return g.withColumn("low", F.col("mean") - 2 * F.col("sd")).withColumn("high", F.col("mean") + 2 * F.col("sd"))
 
 
-def top_share(ranked: DataFrame, rank: str, kind: str, k: int = 20) -> DataFrame:
-    """Among the first k: the dominant kind, its share, and the distinct kinds."""
-    g = ranked.where(F.col(rank) <= k).groupBy(kind).agg(F.count("*").alias("_c"))
+def top_share(rows: DataFrame, kind: str, *order: Column, k: int = 20) -> DataFrame:
+    """Among the first k rows of an order: the dominant kind, its share, and the distinct kinds."""
+    g = rows.orderBy(*order).limit(k).groupBy(kind).agg(F.count("*").alias("_c"))
     return g.agg(F.max_by(kind, F.struct(F.col("_c"), F.col(kind))).alias("dominant"), (F.max("_c") / F.sum("_c")).alias("share"), F.count("*").alias("kinds"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SCHEMA = "file string, kind string, name string, owner string, line int, end_line int, n int, flag boolean, detail string"
 BUDGETS = {"domain": 50, "route": 80, "cli": 120, "test": 150, "dunder": 70, "unknown": 60}
 PREFIXES = r"^_*(?:is|has|can|should|was|will|did|does|are|had|must|needs|allow|allows|enable|enabled|disable|disabled|include|use|supports|requires)(?:_|$)"
+# Names of booleans that read as such without a prefix.
+BARE = "ok valid invalid found done ready active enabled disabled visible hidden verbose quiet debug dry_run strict recursive force overwrite success failed dirty empty loaded cached closed open".split()
 _METHODS = {"get", "post", "put", "patch", "delete", "route", "head", "options"}
 _NESTING = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith, ast.Match)
 _BLOCKING = {"time.sleep", "requests.get", "requests.post", "requests.put", "requests.delete", "subprocess.run", "subprocess.call", "subprocess.check_output", "os.system", "open", "urllib.request.urlopen"}
@@ -122,7 +124,7 @@ def of_source(file: str, source: str | None) -> list[tuple]:
                 if isinstance(t, ast.Name):
                     add("bool", t.id, node.lineno, None, None, None, "assigned")
         elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-            add("literal", node.value[:200], node.lineno)
+            add("literal", node.value, node.lineno)
         todo += [(c, inside) for c in ast.iter_child_nodes(node)]
     return out
 
@@ -165,7 +167,7 @@ def mixed_utc_local(f: DataFrame) -> DataFrame:
 
 
 def boolean_naming(f: DataFrame) -> DataFrame:
-    d = f.where("kind = 'bool'").where(~F.col("name").rlike(PREFIXES)).groupBy("file").agg(F.countDistinct("name", "owner").alias("names"))
+    d = f.where("kind = 'bool'").where(~F.col("name").rlike(PREFIXES) & ~F.lower("name").isin(*BARE)).groupBy("file").agg(F.countDistinct("name", "owner").alias("names"))
     return d.withColumn("severity", F.when(F.col("names") >= 4, "medium").otherwise("low"))
 
 
@@ -207,6 +209,15 @@ def clones(f: DataFrame, near: bool = False, least_tokens: int = 40, least_lines
     return g.where("bodies > 1") if near else g
 
 
+def near_clones(f: DataFrame, least_tokens: int = 40, least_lines: int = 8) -> DataFrame:
+    """Functions equal but for names in two files or more, without groups of which an exact group covers two sites or more: hash, anchor, files."""
+    d = f.where(f"kind = 'clone' AND n >= {least_tokens} AND end_line - line + 1 >= {least_lines}")
+    exact = d.groupBy("name", "detail").agg(F.countDistinct("file").alias("same"))
+    covered = exact.where("same >= 2").select(F.col("name").alias("hash")).distinct()
+    g = d.groupBy(F.col("name").alias("hash")).agg(F.min("file").alias("anchor"), F.countDistinct("file").alias("files"), F.countDistinct("detail").alias("bodies")).where("files >= 2 AND bodies > 1")
+    return g.join(covered, "hash", "left_anti")
+
+
 def import_edges(f: DataFrame) -> DataFrame:
     """(src, dst) of imports that name a module of the table, relative ones by the importing file's package; never a self-edge."""
     path = F.regexp_replace(F.regexp_replace("file", r"\.pyi?$", ""), "(?:^|/)__init__$", "")

@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_having_anchor(df: DataFrame, key: str, member: str, least: int = 2) -> DataFrame:
-    """Keys shared by at least `least` distinct members: key, anchor (the least member), members, hits."""
-    return df.groupBy(key).agg(F.min(member).alias("anchor"), F.countDistinct(member).alias("members"), F.count("*").alias("hits")).where(F.col("members") >= least)
-
-
 def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

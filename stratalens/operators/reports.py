@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SEVERITIES, hotspot_risk, round2, severity_rank
@@ -78,17 +78,23 @@ def upsert(store: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataF
     return store.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def related_files(corpus: DataFrame, rare: int = 8, top: int = 10) -> DataFrame:
-    """Per file its most related ones by shared rare words (in at most `rare` files), 0.2 each up to 1: file, other, score.
+def related_files(files: DataFrame, same_dir: float = 0.25, same_token: float = 0.4, top: int = 10, salts: int = 32) -> DataFrame:
+    """Per file its `top` most related ones (a report limit): file, other, score. files: (file, dir, token), by whose evidence files are related.
 
-    Only words of at most `rare` files pair files, so a word makes at most rare^2 pairs.
+    A file's partners are scored by what they share: directory and token, one of them, or nothing
+    (then they are no partners); equal scores go by name. Since all members of a group score alike,
+    the first top + 1 of each group suffice; they are found within salted parts first, so a group
+    of any size is no single task's work and no pairs within it are listed.
     """
-    from pyspark.sql import Window
-
-    words = corpus.select("file", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where(F.length("w") >= 6)
-    few = words.groupBy("w").agg(F.count("*").alias("_n")).where((F.col("_n") >= 2) & (F.col("_n") <= rare)).select("w")
-    d = words.join(few, "w")
-    pairs = d.join(d.select(F.col("file").alias("other"), "w"), "w").where("file <> other").groupBy("file", "other").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("score", round2(F.least(F.lit(1.0), 0.2 * F.col("shared"))))
-    w = Window.partitionBy("file").orderBy(F.col("score").desc(), F.col("shared").desc(), "other")
-    return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).drop("_rn")
+    kinds = [(["dir", "token"], same_dir + same_token), (["token"], same_token), (["dir"], same_dir)]
+    out = None
+    for keys, weight in kinds:
+        d = files.select("file", *keys).dropna(subset=keys).withColumn("_salt", F.pmod(F.xxhash64("file"), F.lit(salts)))
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("file"))
+        few = d.withColumn("_r", rank(*keys, "_salt")).where(F.col("_r") <= top + 1)
+        first = few.withColumn("_r", rank(*keys)).where(F.col("_r") <= top + 1).groupBy(*keys).agg(F.collect_list("file").alias("others"))  # at most top + 1
+        own = files.select("file", *keys).join(first, keys).select("file", F.explode("others").alias("other")).where("file <> other").withColumn("score", F.lit(weight))
+        out = own if out is None else out.unionByName(own)
+    best = out.groupBy("file", "other").agg(round2(F.max("score")).alias("score"))
+    w = Window.partitionBy("file").orderBy(F.col("score").desc(), "other")
+    return best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).drop("_rn")

@@ -52,9 +52,14 @@ def shape(text: Column) -> Column:
 
 
 def near_groups(corpus: DataFrame, least: int = 2) -> DataFrame:
-    """Shapes of at least `least` files that aren't just exact copies: shape_hash, anchor, files, texts."""
+    """Shapes of at least `least` files, none of which are exact copies of each other: shape_hash, anchor, files, texts.
+
+    Groups that an exact group covers with two files or more are its business.
+    """
     d = corpus.select("file", F.md5(shape(F.col("text"))).alias("shape_hash"), F.md5("text").alias("hash"))
-    return d.groupBy("shape_hash").agg(F.min("file").alias("anchor"), F.countDistinct("file").alias("files"), F.countDistinct("hash").alias("texts")).where((F.col("files") >= least) & (F.col("texts") > 1))
+    texts = d.groupBy("shape_hash", "hash").agg(F.min("file").alias("anchor"), F.countDistinct("file").alias("files"))
+    g = texts.groupBy("shape_hash").agg(F.min("anchor").alias("anchor"), F.sum("files").alias("files"), F.count("*").alias("texts"), F.max("files").alias("_most"))
+    return g.where((F.col("files") >= least) & (F.col("texts") > 1) & (F.col("_most") < 2)).drop("_most")
 
 
 def line_scatter(corpus: DataFrame, bucket: str, least_files: int = 3, least_buckets: int = 2, least_length: int = 20) -> DataFrame:

@@ -143,7 +143,7 @@ def unbounded_async_fanout(bodies: DataFrame) -> DataFrame:
     return bodies.where(many & io & ~limited).select("file", "owner", "line", F.lit("medium").alias("severity"), F.lit(0.6).alias("confidence"))
 
 
-def pass_through(bodies: DataFrame, least: int = 3) -> DataFrame:
+def pass_through(bodies: DataFrame, least: int = 4) -> DataFrame:
     """Files with at least `least` functions that only forward their call."""
     d = bodies.where(F.col("body").rlike(r"(?s)^[^{]*\{\s*return\s+(?:await\s+)?[\w$.]+\([\w$,\s.]*\);?\s*\}\s*;?\s*$") & (F.col("owner") != ""))
     return d.groupBy("file").agg(F.count("*").alias("wrappers"), F.min("owner").alias("first_owner")).where(F.col("wrappers") >= least).withColumn("severity", F.lit("low"))
@@ -251,10 +251,15 @@ def permission_ia_drift(files: DataFrame) -> DataFrame:
 # Assets (file, content binary) and settings.
 
 
-def oversized_raster(assets: DataFrame) -> DataFrame:
-    kb = F.octet_length("content") / 1000
-    d = assets.where(F.lower("file").rlike(r"\.(?:png|jpe?g|gif|webp|bmp|tiff?|avif)$")).select("file", kb.alias("kb")).where("kb >= 200")
-    return d.withColumn("severity", F.when(F.col("kb") >= 1000, "high").when(F.col("kb") >= 500, "medium").otherwise("low"))
+def oversized(assets: DataFrame, size: Column, kb: tuple[int, int, int] = (200, 500, 1000)) -> DataFrame:
+    """Rows of at least kb[0] kilobytes, with a severity by the three steps."""
+    d = assets.withColumn("kb", size / 1000)
+    return d.where(F.col("kb") >= kb[0]).withColumn("severity", F.when(F.col("kb") >= kb[2], "high").when(F.col("kb") >= kb[1], "medium").otherwise("low"))
+
+
+def oversized_raster(assets: DataFrame, kb: tuple[int, int, int] = (200, 500, 1000)) -> DataFrame:
+    d = assets.where(F.lower("file").rlike(r"\.(?:png|jpe?g|gif|webp|bmp|tiff?|avif)$"))
+    return oversized(d, F.octet_length("content"), kb).select("file", "kb", "severity")
 
 
 def raster_size(content: Column) -> Column:

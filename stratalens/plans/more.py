@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import drift, relational, rules
+from ..operators import drift, relational, rules, source_rules
 from ..sources import files
 from .registry import HEAD, R2, SNAP, C, W, _findings, corpus, longs, query, table
 
@@ -22,10 +22,14 @@ def discovery(spark, sf_dir):
     return files.discover(_urls(spark, sf_dir).select("file", "path"), ["/**/*.html"], ["/fr/**"], path="path")
 
 
-@query(f"SELECT CASE WHEN regexp_matches({PATH}, '\\.html$') THEN 'page' ELSE 'other' END AS kind, count(*) AS pages FROM pages GROUP BY 1")
+EXT = "['ts', 'py', 'jsx', 'md', 'pyi', 'go', 'MJS']"
+
+
+@query(f"SELECT CASE WHEN e IN ('ts', 'jsx', 'MJS') THEN 'language-js' WHEN e IN ('py', 'pyi') THEN 'language-py' ELSE 'universal' END AS pack, count(*) AS files FROM (SELECT {EXT}[p_partkey % 7 + 1] AS e FROM part) GROUP BY 1")
 def pack_router(spark, sf_dir):
-    kind = F.when(F.col("path").rlike(r"\.html$"), "page").otherwise("other")
-    return _urls(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("pages"))
+    names = F.array(*[F.lit(e) for e in EXT.strip("[]").replace("'", "").split(", ")])
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit("."), F.element_at(names, (F.col("p_partkey") % 7 + 1).cast("int")))
+    return table(spark, sf_dir, "part").groupBy(files.pack(path).alias("pack")).agg(F.count("*").alias("files"))
 
 
 @query(f"SELECT CAST(page_id AS VARCHAR) AS file, lower(regexp_replace(regexp_replace({PATH}, '/[0-9]+', '/{{}}', 'g'), '^/+|/+$', '', 'g')) AS route FROM pages")
@@ -78,11 +82,11 @@ def cross_language_type_drift(spark, sf_dir):
     return longs(drift.type_drift(side("p_partkey % 2 = 0"), side("p_partkey % 2 = 1")))
 
 
-@query("""WITH r AS (SELECT DISTINCT p_brand || '/' || p_type AS route, p_brand AS root, p_type FROM part), t AS (SELECT route, root, unnest(list_distinct(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'))) AS t FROM r)
-SELECT a.route, b.route AS other, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.route < b.route AND a.root <> b.root GROUP BY 1, 2 HAVING count(*) >= 1""")
+@query("""WITH r AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name AS route, p_brand AS root, p_type || ' ' || p_name AS words FROM part), t AS (SELECT route, root, unnest(list_distinct(regexp_split_to_array(lower(words), '[^a-z0-9]+'))) AS t FROM r)
+SELECT a.route, b.route AS other, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.route < b.route AND a.root <> b.root GROUP BY 1, 2 HAVING count(*) >= 3""")
 def parallel_destination(spark, sf_dir):
-    routes = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("route"), F.col("p_brand").alias("root"), "p_type").distinct()
-    return drift.parallel_destinations(routes.select("route", "root", F.split(F.lower("p_type"), "[^a-z0-9]+").alias("tokens")), least=1)
+    routes = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("route"), F.col("p_brand").alias("root"), F.concat_ws(" ", "p_type", "p_name").alias("words")).distinct()
+    return drift.parallel_destinations(routes.select("route", "root", F.split(F.lower("words"), "[^a-z0-9]+").alias("tokens")), least=3)
 
 
 @query("""WITH d AS (SELECT DISTINCT l_suppkey AS file, CAST(l_partkey % 50 AS VARCHAR) AS package FROM lineitem), m AS (SELECT DISTINCT CAST(p_partkey % 50 AS VARCHAR) AS package FROM part WHERE p_size > 48)
@@ -98,16 +102,25 @@ def hardcoded_literal(spark, sf_dir):
     return longs(rules.pattern_count(corpus(spark, sf_dir), "[A-Za-z0-9]+@[a-z0-9]+"))
 
 
-@query(f"SELECT file, md5(regexp_replace(text, '(password|token)( = |=)\"?[^ \\n\"]+\"?', '\\1\\2***', 'g')) AS redacted FROM {C} WHERE regexp_matches(text, '(password|token)( = |=)')")
+MASKED = "text"
+for _pattern, _mask in [
+    (r"\b([A-Z][A-Z0-9_]{2,}(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIAL|AUTH)[A-Z0-9_]*)\s*=\s*\S+", r"\1=***"), (r"(?i)(--?(?:token|key|secret|password|auth|api[-_]?key)[= ])\S+", r"\1***"),
+    (r"(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[=:]\s*)\"?[^\s\"]+\"?", r"\1\2***"), (r"(?i)\b(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{8,}", r"\1 ***"),
+    (r"\b(?:sk|pk|ghp|gho|ghs|ghu|ghr|xox[abposr])[-_][A-Za-z0-9_-]{8,}", "***"), (r"\b[A-Za-z0-9+/]{40,}={0,2}", "***"),
+]:
+    MASKED = f"regexp_replace({MASKED}, '{_pattern}', '{_mask}', 'g')"
+
+
+@query(f"SELECT file, md5({MASKED}) AS redacted FROM {C} WHERE regexp_matches(text, '[0-9]') AND {MASKED} <> text")
 def secret_redaction(spark, sf_dir):
-    d = corpus(spark, sf_dir).where(F.col("text").rlike("(password|token)( = |=)"))
-    return d.select("file", F.md5(F.regexp_replace("text", '(password|token)( = |=)"?[^ \\n"]+"?', "$1$2***")).alias("redacted"))
+    d = corpus(spark, sf_dir).where(F.col("text").rlike("[0-9]")).withColumn("_r", text.redacted(F.col("text")))
+    return d.where("_r <> text").select("file", F.md5("_r").alias("redacted"))
 
 
-@query("SELECT page_id, octet_length(encode(html)) AS size, CASE WHEN octet_length(encode(html)) >= 10000 THEN 'high' WHEN octet_length(encode(html)) >= 5000 THEN 'medium' ELSE 'low' END AS severity FROM pages WHERE octet_length(encode(html)) >= 2000")
+@query("""WITH a AS (SELECT doc_id, octet_length(encode(text)) AS size FROM documents) SELECT doc_id, size / CAST(1000 AS DOUBLE) AS kb, CASE WHEN size >= 10000 THEN 'high' WHEN size >= 5000 THEN 'medium' ELSE 'low' END AS severity FROM a WHERE size >= 2000""")
 def oversized_asset(spark, sf_dir):
-    d = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("bigint").alias("size"))
-    return drift.raster_size(d.withColumn("_b", F.col("size") * 100), "_b").drop("_b")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return source_rules.oversized(d, F.col("size"), (2, 5, 10)).select("doc_id", "kb", "severity")
 
 
 @query(f"SELECT fingerprint, file, o_orderkey FROM ({SNAP}) QUALIFY row_number() OVER (PARTITION BY file ORDER BY {W} DESC, o_orderkey) <= 3")

@@ -14,7 +14,7 @@ FLAGSHIP = "scan_report"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 NOW = "2024-06-30"
-URL = "https?://[A-Za-z0-9.-]+"
+HOST = "[A-Za-z0-9-]+[.]example[.]com"
 MARK = "token|password"
 
 
@@ -63,11 +63,10 @@ def marker_density(spark, sf_dir):
     return longs(rules.marker_density(corpus(spark, sf_dir), MARK))
 
 
-@query(f"""SELECT CAST(page_id AS VARCHAR) AS file, CAST(len(regexp_extract_all(html, '{URL}')) AS BIGINT) AS hits, CASE WHEN len(regexp_extract_all(html, '{URL}')) >= 3 THEN 'high' ELSE 'medium' END AS severity
-FROM pages WHERE len(regexp_extract_all(html, '{URL}')) > 0""")
+@query(f"""SELECT file, CAST(len(regexp_extract_all(text, '{HOST}')) AS BIGINT) AS hits, CASE WHEN len(regexp_extract_all(text, '{HOST}')) >= 3 THEN 'high' ELSE 'medium' END AS severity
+FROM {C} WHERE len(regexp_extract_all(text, '{HOST}')) > 0""")
 def url_literals(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
-    return longs(rules.pattern_count(pages, URL))
+    return longs(rules.pattern_count(corpus(spark, sf_dir), HOST))
 
 
 @query(f"SELECT md5(text) AS hash, min(file) AS anchor, count(DISTINCT file) AS files FROM {C} GROUP BY 1 HAVING count(DISTINCT file) >= 2")
@@ -75,12 +74,15 @@ def exact_duplicate_block(spark, sf_dir):
     return rules.exact_groups(corpus(spark, sf_dir))
 
 
+NAMES = "(SELECT CAST(c_custkey AS VARCHAR) AS file, c_mktsegment || ': ' || c_name || ', ' || CAST(c_nationkey AS VARCHAR) AS text FROM customer)"
 SHAPE = "trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT md5({SHAPE}) AS shape_hash, min(file) AS anchor, count(DISTINCT file) AS files, count(DISTINCT md5(text)) AS texts FROM {C} GROUP BY 1 HAVING count(DISTINCT file) >= 2 AND count(DISTINCT md5(text)) > 1")
+@query(f"""WITH t AS (SELECT md5({SHAPE}) AS shape_hash, md5(text) AS h, min(file) AS anchor, count(DISTINCT file) AS files FROM {NAMES} GROUP BY 1, 2)
+SELECT shape_hash, min(anchor) AS anchor, CAST(sum(files) AS BIGINT) AS files, count(*) AS texts FROM t GROUP BY 1 HAVING sum(files) >= 2 AND count(*) > 1 AND max(files) < 2""")
 def near_duplicate_block(spark, sf_dir):
-    return rules.near_groups(corpus(spark, sf_dir))
+    c = table(spark, sf_dir, "customer")
+    return rules.near_groups(c.select(F.col("c_custkey").cast("string").alias("file"), F.concat("c_mktsegment", F.lit(": "), "c_name", F.lit(", "), F.col("c_nationkey").cast("string")).alias("text")))
 
 
 @query(f"""WITH l AS (SELECT DISTINCT file, source, unnest(string_split(text, chr(10))) AS content FROM {C}),
@@ -138,13 +140,12 @@ def concept_alias_drift(spark, sf_dir):
     return rules.alias_drift(corpus(spark, sf_dir), dim, "source")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT file, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {C}), x AS (SELECT * FROM w WHERE length(w) >= 6),
-few AS (SELECT w FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8), d AS (SELECT x.* FROM x JOIN few USING (w)),
-p AS (SELECT a.file, b.file AS other, count(*) AS shared FROM d a JOIN d b USING (w) WHERE a.file <> b.file GROUP BY 1, 2),
-s AS (SELECT *, floor(least(CAST(1 AS DOUBLE), CAST(0.2 AS DOUBLE)*shared)*100+0.5)/100 AS score FROM p)
-SELECT file, other, shared, score FROM s QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, shared DESC, other) <= 10""")
+@query(f"""WITH f AS (SELECT file, source AS dir, regexp_extract(lower(text), '^[^a-z]*([a-z]+)', 1) AS token FROM {C}), g AS (SELECT file, dir, nullif(token, '') AS token FROM f),
+p AS (SELECT a.file, b.file AS other, coalesce(CAST(a.dir = b.dir AS INT) * CAST(0.25 AS DOUBLE), 0) + coalesce(CAST(a.token = b.token AS INT) * CAST(0.4 AS DOUBLE), 0) AS s FROM g a JOIN g b ON a.file <> b.file AND (a.dir = b.dir OR a.token = b.token))
+SELECT file, other, floor(s*100+0.5)/100 AS score FROM p QUALIFY row_number() OVER (PARTITION BY file ORDER BY floor(s*100+0.5)/100 DESC, other) <= 10""")
 def related_files(spark, sf_dir):
-    return reports.related_files(corpus(spark, sf_dir))
+    word = F.nullif(F.regexp_extract(F.lower("text"), "^[^a-z]*([a-z]+)", 1), F.lit(""))
+    return reports.related_files(corpus(spark, sf_dir).select("file", F.col("source").alias("dir"), word.alias("token")))
 
 
 @query("""WITH e AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -372,7 +373,10 @@ def coverage(spark, sf_dir):
 @query("""WITH g AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT source, CAST(sum(n) AS BIGINT) AS files, max(n) AS m FROM g GROUP BY 1)
 SELECT t.source, files, (SELECT min(lang) FROM g WHERE g.source = t.source AND 2*g.n > files) AS dominant FROM t""")
 def coverage_by_package(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    paths = docs.select("lang", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    near = relational.nearest_ancestor(paths, docs.select(F.col("source").alias("dir")).distinct())
+    g = near.groupBy(F.col("dir").alias("source"), "lang").agg(F.count("*").alias("n"))
     t = g.groupBy("source").agg(F.sum("n").alias("files"), F.max(F.struct("n", "lang")).alias("_m"))
     return t.select("source", "files", F.when(2 * F.col("_m.n") > F.col("files"), F.col("_m.lang")).alias("dominant"))
 
@@ -420,9 +424,7 @@ def variance_band(spark, sf_dir):
 @query("""WITH r AS (SELECT p_brand, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k FROM part), g AS (SELECT p_brand, count(*) AS c FROM r WHERE k <= 20 GROUP BY 1)
 SELECT (SELECT p_brand FROM g ORDER BY c DESC, p_brand DESC LIMIT 1) AS dominant, max(c)/CAST(sum(c) AS DOUBLE) AS share, count(*) AS kinds FROM g""")
 def top_share(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    ids = relational.ordered_ids(part, [-F.col("p_retailprice")], [F.col("p_partkey")])
-    return metrics.top_share(ids, "rank", "p_brand")
+    return metrics.top_share(table(spark, sf_dir, "part"), "p_brand", -F.col("p_retailprice"), F.col("p_partkey"))
 
 
 HUMPS = "regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g')"

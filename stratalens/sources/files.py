@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Directories that are never walked.
-NEVER = (".git", "node_modules", "dist", "build", "coverage", ".venv", "venv", "__pycache__", ".next", ".turbo", "target", "vendor")
+# Directories that are never walked, whatever a user includes.
+NEVER = (".git", ".hg", ".svn", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".turbo", ".gradle", "node_modules")
+# What is read, and what is left out of it unless a user lifts the defaults.
+INCLUDE = ["**/*.{ts,tsx,js,jsx,mjs,cjs,cts,mts}", "**/*.{py,pyi}", "**/*.{rs,go,rb,java,kt,scala,swift,c,h,cpp,hpp,cs,php,ex,exs,lua,sh,bash,zsh}", "**/*.{md,mdx,markdown,rst,adoc,asciidoc,txt}", "**/*.{json,yaml,yml,toml}"]
+EXCLUDE = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/out/**", "**/coverage/**", "**/*.min.js", "**/*.generated.*", "**/package-lock.json", "**/pnpm-lock.yaml", "**/yarn.lock", "**/npm-shrinkwrap.json", "**/Cargo.lock", "**/poetry.lock", "**/uv.lock", "**/composer.lock", "**/*.lock", "**/tsconfig*.json", "**/pnpm-workspace.yaml"]
+ASSETS = ["**/*.{png,jpg,jpeg,gif,webp,avif,svg}"]
 COMMITS = T.StructType([T.StructField("file", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("author", T.StringType())])
 FEEDBACK = T.StructType([T.StructField(n, t) for n, t in (("timestamp", T.TimestampType()), ("version", T.StringType()), ("fingerprint", T.StringType()), ("finding_type", T.StringType()), ("verdict", T.StringType()), ("note", T.StringType()), ("repo", T.StringType()), ("_corrupt_record", T.StringType()))])
 STORES = {
@@ -72,13 +76,15 @@ def pack(path: Column) -> Column:
 
 def scope(path: Column) -> Column:
     """What a file is for, by its path; the first that fits."""
+    test = r"(?i)(?:^|/)(?:tests?|__tests__|spec|e2e)/|(?:^|/)test_[^/]+\.py$|_test\.(?:py|go)$|\.(?:test|spec)\.[a-z]+$|(?:^|/)conftest\.py$"
+    folders = lambda *names: "(?:^|/)(?:" + "|".join(names) + ")/"
     rules = [
-        ("generated", r"(?i)(?:^|/)(?:generated|__generated__|gen)/|\.(?:generated|gen|pb)\.[a-z]+$|_pb2\.pyi?$|\.min\.(?:js|css)$"),
-        ("vendored", r"(?i)(?:^|/)(?:vendor|vendored|third[_-]?party|external|node_modules)/"),
-        ("migration", r"(?i)(?:^|/)(?:migrations?|alembic)/"),
-        ("fixture", r"(?i)(?:^|/)(?:fixtures?|__fixtures__|testdata|snapshots?|__snapshots__)/"),
-        ("test", r"(?i)(?:^|/)(?:tests?|__tests__|spec|e2e)/|(?:^|/)test_[^/]+\.py$|_test\.(?:py|go)$|\.(?:test|spec)\.[a-z]+$|(?:^|/)conftest\.py$"),
-        ("config", r"(?i)(?:^|/)[^/]*(?:config|settings|\.rc)[^/]*\.(?:js|ts|json|py|ya?ml|toml)$"),
+        ("generated", folders("__generated__", "generated", r"\.generated", "node_modules") + r"|\.(?:generated|gen)\.[cm]?[jt]sx?$|(?:^|/)(?:schema|graphql|api)\.generated\.|_pb2(?:_grpc)?\.pyi?$|\.pb\.go$"),
+        ("vendored", folders(r"[._]?(?:vendor|vendored|third[-_]party|thirdparty|external|\.yarn)") + r"|[.-]min\.(?:js|css|mjs|cjs)$"),
+        ("migration", folders("migrations?", "db/migrate", "alembic/versions", "prisma/migrations") + r"|(?:^|/)\d{6,}[-_][\w-]+\.[cm]?[jt]s$"),
+        ("fixture", folders("fixtures?", "__fixtures__", "__snapshots__", "__mocks__", "snapshots?", "examples?", "samples?", "testdata", "mocks?", "stubs?")),
+        ("test", test),
+        ("config", r"(?:^|/)[^/]*\.config\.[cm]?[jt]s$|(?:^|/)(?:\.eslintrc|\.prettierrc|tsup|vite|vitest|webpack|rollup|jest|babel|next|tailwind|postcss)\.config\."),
     ]
     out = None
     for name, pattern in rules:
@@ -86,6 +92,36 @@ def scope(path: Column) -> Column:
     return out.otherwise("production")
 
 
+def reportable(path: Column) -> Column:
+    """Whether findings in a file are reported at all: not in generated and vendored ones."""
+    return ~scope(path).isin("generated", "vendored")
+
+
+def excludes(user: list[str] = (), defaults: bool = True) -> list[str]:
+    """The user's exclude patterns, after the default ones unless those are lifted."""
+    return list(dict.fromkeys([*(EXCLUDE if defaults else []), *user]))
+
+
+def tier(path: Column, outside: list[str]) -> Column:
+    """"nonDomain" for paths that one of the globs fits, else "domain"."""
+    return F.when(matches(path, list(outside)), "nonDomain").otherwise("domain")
+
+
+def linguist_generated(lines: DataFrame) -> DataFrame:
+    """(dir, pattern) of lines (dir, line) of attribute files that mark generated sources; "-linguist-generated" and "=false" do not."""
+    mark = F.regexp_extract("line", r"^\s*(?!#)(\S+)\s+(?:\S+\s+)*linguist-generated(?:=true)?(?:\s|$)", 1)
+    return lines.select("dir", mark.alias("pattern")).where("pattern <> ''").distinct()
+
+
+def covers(path: Column, patterns: DataFrame) -> list[str]:
+    """The globs of linguist_generated() as patterns on whole paths; a bounded list of settings."""
+    out = []
+    for r in patterns.select("dir", "pattern").distinct().toLocalIterator():
+        base = f"{r.dir}/" if r.dir else ""
+        out.append(f"{base}{r.pattern}" if "/" in r.pattern.strip("/") else f"{base}**/{r.pattern}")
+    return out
+
+
 def is_generated(text: Column) -> Column:
     """Whether a generator's mark stands in the first 40 lines."""
     return F.array_join(F.slice(F.split(text, "\n"), 1, 40), "\n").rlike("(?i)@generated|DO NOT EDIT")
@@ -116,15 +152,34 @@ def corroborated(patterns: DataFrame, least: int = 2) -> DataFrame:
 
 def undiscovered(listed: DataFrame, discovered: DataFrame, top: int = 10) -> DataFrame:
     """Histogram by extension of listed files that weren't discovered: the `top` ones, the rest as "(other extensions)"."""
-    from pyspark.sql import Window
-
     ext = F.coalesce(F.nullif(F.lower(F.regexp_extract("file", r"(\.[A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("(none)"))
     g = listed.join(discovered.select("file"), "file", "left_anti").groupBy(ext.alias("ext")).agg(F.count("*").alias("files"))
-    rank = F.row_number().over(Window.orderBy(F.col("files").desc(), "ext"))
-    named = g.withColumn("ext", F.when(rank <= top, F.col("ext")).otherwise("(other extensions)"))
+    # the first ones by a limit, not by a window over all extensions
+    first = g.orderBy(F.col("files").desc(), "ext").limit(top).withColumn("_top", F.lit(True)).select("ext", "_top")
+    named = g.join(first, "ext", "left").withColumn("ext", F.when(F.col("_top"), F.col("ext")).otherwise("(other extensions)"))
     return named.groupBy("ext").agg(F.sum("files").alias("files"))
 
 
+def commits(log: DataFrame, marker: str = "COMMIT") -> DataFrame:
+    """(file, ts, author) of change logs (source, text): blocks of "marker time author", then a path a line, then a blank line."""
+    block = F.explode(F.split("text", r"\r?\n[ \t]*(?:\r?\n)+"))
+    d = log.select("source", block.alias("block")).withColumn("at", F.regexp_extract("block", rf"(?m)^{marker}[ ]+(\S+)", 1)).where("at <> ''")
+    head = rf"(?m)^{marker}[ ]+\S+[ ]*(.*)$"
+    rows = d.select(F.col("at").cast("timestamp").alias("ts"), F.trim(F.regexp_extract("block", head, 1)).alias("author"), F.explode(F.split("block", r"\r?\n")).alias("file"))
+    return rows.where(~F.col("file").rlike(rf"^{marker}(?: |$)") & (F.trim("file") != "")).select("file", "ts", "author")
+
+
+def changes(commits: DataFrame, since: Column | None = None) -> DataFrame:
+    """Per file: change_count, latest, authors (named ones)."""
+    d = commits if since is None else commits.where(F.col("ts") >= since)
+    return d.groupBy("file").agg(F.count("*").alias("change_count"), F.max("ts").alias("latest"), F.countDistinct(F.nullif("author", F.lit(""))).alias("authors"))
+
+
+def changed_files(working: DataFrame, compared: DataFrame, existing: DataFrame) -> DataFrame:
+    """(file): what the working tree or the comparison with a base names, as far as it exists."""
+    return working.select("file").unionByName(compared.select("file")).distinct().join(existing.select("file"), "file", "left_semi")
+
+
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMMITS).json(path)
 

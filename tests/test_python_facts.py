@@ -5,7 +5,7 @@ from stratalens.operators import graph, python_facts as pf
 LONG = "def big(a):\n" + "".join(f"    a = a + {i}\n" for i in range(160)) + "    return a\n"
 BODY = "def {}({}):\n    total = 0\n    for item in {}:\n        if item > 3:\n            total = total + item * 2\n        else:\n            total = total - item\n    if total > 10:\n        return total\n    return None\n"
 FILES = {
-    "app/core/a.py": "from . import b\nimport datetime\nfrom datetime import datetime as dt\nx = datetime.datetime.utcnow()\ny = datetime.datetime.now()\nready = True\nis_ok = True\n" + BODY.format("f", "rows", "rows"),
+    "app/core/a.py": "from . import b\nimport datetime\nfrom datetime import datetime as dt\nx = datetime.datetime.utcnow()\ny = datetime.datetime.now()\nready = True\npaid = True\nis_ok = True\n" + BODY.format("f", "rows", "rows"),
     "app/core/b.py": "from app.core.a import f\n" + BODY.format("f", "rows", "rows"),
     "app/core/c.py": "import app.core.b\nimport a.b.c.d.e\n" + BODY.format("g", "items", "items"),
     "app/big.py": LONG,
@@ -28,7 +28,7 @@ def test_rules(spark):
     assert by(pf.large_functions(f))["app/big.py"].severity == "high"
     assert by(pf.direct_dates(f))["app/core/a.py"].naive == 2
     assert set(by(pf.mixed_utc_local(f))) == {"app/core/a.py"}
-    assert by(pf.boolean_naming(f))["app/core/a.py"].names == 1
+    assert by(pf.boolean_naming(f))["app/core/a.py"].names == 1  # paid; ready may stand alone
     assert by(pf.deep_imports(f))["app/core/c.py"].severity == "medium"
     assert {r.owner for r in pf.blocking_in_hot_path(f).collect()} == {"view", "go"}
     weak = by(pf.weak_tests(f))["tests/test_a.py"]
