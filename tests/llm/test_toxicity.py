@@ -1,7 +1,10 @@
 """Toxicity: held-out accuracy, and defined results for odd input."""
 
+import os
 import zlib
 
+import pytest
+
 from stratalens.llm import toxicity
 from stratalens.llm.queries import op3_toxicity
 
@@ -36,3 +39,57 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.add_scores(docs, model).collect()] == [0.0]
+
+
+def test_scores_against_plain_compression():
+    import math
+    import random
+
+    import zstandard
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    plain = [word() for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(240):
+        own = [rng.choice(plain) for _ in range(rng.randrange(5, 40))]
+        if i % 4 == 0:
+            own[rng.randrange(len(own))] = rng.choice(["zzbad", "zzworse", "zzworst"])
+        texts.append(" ".join(own))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit(texts, toxic)
+    scorer = toxicity.Scorer(model)
+
+    def length(data, side):
+        params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        own = zstandard.ZstdCompressionDict(side, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(data))
+
+    for text in [*texts[:30], "", None, "zzbad " * 50, "word " * 3000]:
+        found = toxicity.words(text)
+        weights = []
+        for w in found:
+            data = f" {w} ".encode() * toxicity.REPEAT
+            weights.append(model.weights.get((length(data, model.toxic), length(data, model.ordinary)), 0.0))
+        top = ([max(0.0, x) for x in sorted(weights, reverse=True)[: toxicity.TOP]] + [0.0] * toxicity.TOP)[: toxicity.TOP]
+        z = sum(a * b for a, b in zip([1.0, *top, math.log1p(len(found))], model.coef, strict=True))
+        assert abs(scorer.score(text) - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="needs the larger tables")
+def test_every_language_on_held_out_rows():
+    import zlib
+
+    import duckdb
+
+    at = lambda t: f"/root/testdata/check_s/{t}.parquet" + ("/*.parquet" if os.path.isdir(f"/root/testdata/check_s/{t}.parquet") else "")
+    rows = duckdb.sql(f"SELECT doc_id, lang, text, max(toxic) FROM '{at('documents')}' JOIN '{at('labels')}' USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL").fetchall()
+    held = lambda r: zlib.crc32(str(r[0]).encode()) % 3 == 1
+    order = sorted((r for r in rows if not held(r)), key=lambda r: zlib.crc32(str(r[0]).encode()))
+    sample = [r for y in (0, 1) for r in [x for x in order if x[3] == y][: toxicity.SAMPLE]]
+    scorer = toxicity.Scorer(toxicity.fit((r[2] for r in sample), (r[3] for r in sample)))
+    for lang in ("en", "de", "fr", "es"):
+        own = [(scorer.score(r[2]) >= toxicity.THRESHOLD, r[3]) for r in rows if held(r) and r[1] == lang]
+        assert sum(h for h, y in own if y) >= 0.9 * sum(y for _, y in own), lang
+        assert sum(h for h, y in own if not y) <= 0.01 * len(own), lang
