@@ -1,4 +1,4 @@
-"""What several operators share: checkpointed tables, prefix sums, guarded broadcasts."""
+"""What several operators share: tables in the shared folder, bounded batches, measured broadcasts."""
 
 from __future__ import annotations
 
@@ -10,11 +10,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a prefix-sum block; a block is the unit that one task sums.
-BLOCK = 4096
 #: What join_small() broadcasts at most.
 BROADCAST_BYTES = 8 << 20
 #: Bounds of an Arrow batch.
@@ -138,21 +136,3 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     if bytes_of(small) <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)
-
-
-def prefix_sum(df: DataFrame, order: str, value: str, out: str = "start") -> DataFrame:
-    """Exclusive running sum of `value` in ascending `order` (a long that identifies rows; null first), over the whole table.
-
-    Three levels of blocks keep every window small: rows within BLOCK consecutive keys,
-    blocks within BLOCK blocks, and one window over the rest (total / BLOCK^2 rows).
-    Rows of equal `order` are taken in any order among themselves.
-    """
-    low = F.lit(-(2**63)).cast("long")
-    d = df.withColumn("_k", F.coalesce(F.col(order), low)).withColumn("_b", F.floor(F.col("_k") / BLOCK)).withColumn("_c", F.floor(F.col("_b") / BLOCK))
-    blocks = d.groupBy("_c", "_b").agg(F.sum(value).alias("_v"))
-    tops = blocks.groupBy("_c").agg(F.sum("_v").alias("_v"))
-    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(by and "_b" or "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("_c", before("_v").alias("_t"))
-    blocks = blocks.select("_c", "_b", before("_v", "_c").alias("_u")).join(tops, "_c").select("_b", (F.col("_u") + F.col("_t")).alias("_u"))
-    rows = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    return d.join(blocks, "_b").withColumn(out, (F.coalesce(F.sum(value).over(rows), F.lit(0)) + F.col("_u")).cast("long")).drop("_k", "_b", "_c", "_u")

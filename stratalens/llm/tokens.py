@@ -115,8 +115,8 @@ class Encoder(dict):
         if len(self) >= self.max_words // 2:
             self.old = dict(self)
             self.clear()
-        first, *rest = text.split(" ")
+        pieces = iter(text.split(" "))
         try:
-            return b"".join([self._piece(first), *map(self.__getitem__, rest)])
+            return self._piece(next(pieces)) + b"".join(map(self.__getitem__, pieces))
         except TypeError:  # a None: white space meets white space
             return self.whole(text)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from stratalens.llm import bitpack, packing
-from stratalens.llm.common import new_path, prefix_sum
+from stratalens.llm.common import new_path
 from stratalens.llm.tokens import default_path, encoder
 
 ODD = [None, "", "a  b", " a", "a ", "\n\nx y\n", "it's <|endoftext|> x", "x ", "12 ab34%% 漢字 😀 ok\t\tb", "a\n b", "é" * 3000, "word, " * 900, "same text", "same text"]
@@ -51,15 +51,6 @@ def test_random_access():
     assert shard.ids(130, 190).tolist() == x[130:190].tolist()
 
 
-def test_prefix_sum(spark):
-    rows = [(i * 3001 % 50_021, i % 7) for i in range(3_000)] + [(None, 5)]
-    got = prefix_sum(spark.createDataFrame(rows, "doc_id long, v long"), "doc_id", "v").collect()
-    at = 0
-    for r in sorted(got, key=lambda r: -1 if r.doc_id is None else r.doc_id):
-        assert r.start == at
-        at += r.v
-
-
 def test_bitpack_query(spark, tmp_path):
     rows = [*ROWS, (None, "no id", "en", "s0", 0), (3, "twice the id", "en", "s0", 0)]
     bitpack.write_files(bitpack.write_shards(frame(spark, rows, True), shard_ids=50), f"file://{tmp_path}/shards")
