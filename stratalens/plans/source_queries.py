@@ -12,7 +12,7 @@ from ..sources import files as sources
 from . import fixtures
 from .registry import ORACLES, QUERIES, longs, query
 
-#: Per rule the findings (file, symbol, severity) that the fixtures hold, by reading them; no symbol where it is a hash.
+#: Per rule the findings (file, symbol, severity) that the fixtures were written to hold; no symbol where it is a hash.
 EXPECTED: dict[str, list[tuple]] = {
     "accessible_interaction_risk": [(f"src/ui/Card{k}.tsx", "", "medium") for k in (1, 2, 3)],
     "agent_permission_sprawl": [(".claude/settings.json", "", "low")],
