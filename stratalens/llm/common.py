@@ -76,7 +76,7 @@ def stored_buckets(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     n = min(MAX_BUCKETS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     path, table_name = new_path(spark, name), f"stratalens_{uuid.uuid4().hex}"
     with _cleaned(spark):
-        df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(table_name)
+        df.repartition(n, *by).write.format("parquet").option("compression", "zstd").bucketBy(n, *by).option("path", path).saveAsTable(table_name)
     _written[path] = table_name
     return spark.table(table_name)
 

@@ -141,19 +141,18 @@ def roots(trees: Iterable[int]) -> list[int]:
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """Per document: did, n, key (of the set), sig and set, as bytes."""
+    """Per document: did, n, key (of the set), sig as bytes, and text, from which the set is made again: it compresses, the hashes don't."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 200):
                 batch = big.slice(lo, 200)
                 sets = [shingle_set(x.as_py() or b"") for x in batch.column(1)]
-                data = [s.tobytes() for s in sets]
-                keys = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(data, pa.binary())], ["did", "n", "key", "sig", "set"])
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), batch.column(1)], ["did", "n", "key", "sig", "text"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("binary").alias("text"))
-    return in_arrow(d, rows, "did long, n long, key binary, sig binary, set binary")
+    return in_arrow(d, rows, "did long, n long, key binary, sig binary, text binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -209,9 +208,9 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
 def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Verified links of tasks between components: (a, b), per task a spanning forest with b the least component of each tree."""
     for rows in _groups(batches):
-        task, comps = rows["task"].to_numpy(), rows["comp"].to_pylist()
+        task, comps, keys = rows["task"].to_numpy(), rows["comp"].to_pylist(), rows["key"].to_pylist()
         numbered = np.unique(np.array(comps, dtype="S16"), return_inverse=True)[1]
-        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+        sets: dict[bytes, np.ndarray] = {}
         parent: dict[tuple[int, bytes], bytes] = {}
 
         def top(t, c):
@@ -219,25 +218,30 @@ def _links(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 c = up
             return c
 
+        def full(i):
+            if keys[i] not in sets:
+                sets[keys[i]] = shingle_set(rows["text"][i].as_py() or b"")
+            return sets[keys[i]]
+
         for first, second in _near_pairs(task, numbered, rows["n"].to_numpy(), _signatures(rows), percent):
             for i, j in zip(first.tolist(), second.tolist(), strict=True):
                 t = int(task[i])
                 a, b = top(t, comps[i]), top(t, comps[j])
-                if a != b and _linked(sets[i], sets[j], percent):
+                if a != b and _linked(full(i), full(j), percent):
                     parent[t, max(a, b)] = min(a, b)
         found = sorted({(c, top(t, c)) for t, c in parent})
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _resolve(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _resolve(tasks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of tasks (task, key, did, n, sig, comp): a task's rows meet in one partition, many tasks to a batch.
 
-    The candidates are dealt to the buckets of the table of sets, which stays where it is.
+    The candidates are dealt to the buckets of the table of texts, which stays where it is.
     """
     together = lambda d: d.repartition("task").sortWithinPartitions("task", "key")
     slim = together(tasks.select("task", "key", "did", "n", "sig", "comp"))
     few = stored(in_arrow(slim, lambda b: _candidates(b, percent), "task long, key binary, did long, comp binary"), "candidates")
-    own = sets.join(few.hint("shuffle_hash"), ["key", "did"]).select("task", "key", "n", "sig", "set", "comp")
+    own = texts.join(few.hint("shuffle_hash"), ["key", "did"]).select("task", "key", "n", "sig", "text", "comp")
     return in_arrow(together(own), lambda b: _links(b, percent), "a binary, b binary")
 
 
@@ -299,30 +303,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, reps): every document's set, in buckets by key and did, and one row per distinct nonempty set: key, did (its least), n, sig."""
-    sets = stored_buckets(shingle_rows(docs), "sets", ["key", "did"])
-    reps = sets.where("n > 0").groupBy("key").agg(F.min("did").alias("did"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    return sets, stored(reps, "reps")
+    """(texts, reps): every document's text and set's key, in buckets by key and did, and one row per distinct nonempty set: key, did (its least), n, sig."""
+    texts = stored_buckets(shingle_rows(docs), "texts", ["key", "did"])
+    reps = texts.where("n > 0").groupBy("key").agg(F.min("did").alias("did"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return texts, stored(reps, "reps")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document of (doc_id, text): doc_id, n_shingles, component_id, kept. Links are of Jaccard similarity percent / 100 or more."""
     second, spark, before = second_pick(percent), docs.sparkSession, written()
-    sets, reps = classes_of(docs)
+    texts, reps = classes_of(docs)
     with_sig = lambda rows: rows.join(reps.select("key", "did", "n", "sig"), "key")
     sized = lambda rows, mark: rows.withColumn("task", _hash("node", F.pmod(_hash("key"), F.ceil(F.col("size") / LIMIT)), F.lit(mark)))
     apply = lambda rows, links: rows.join(links.select(F.col("a").alias("comp"), "b"), "comp", "left").select("key", F.coalesce("b", "comp").alias("comp"))
-    resolve = lambda tasks: stored(_resolve(with_sig(tasks), sets, percent), "links")
+    resolve = lambda tasks: stored(_resolve(with_sig(tasks), texts, percent), "links")
 
     # First pass: one tree, large nodes in chunks; a class is in one task, so the links are stars.
     comps = reps.select("key", F.col("key").alias("comp"))
     first = stored(_mixed(_branch(reps.withColumn("comp", F.col("key")), _SLIM, second, roots([0])).groupBy("key", "comp").agg(F.min("node").alias("node"))), "nodes")
     comps = stored(apply(comps, resolve(sized(first, 1))), "comps")
-    settle(spark, before, sets, reps, comps, first)
+    settle(spark, before, texts, reps, comps, first)
     # Its roots, at the nodes that were cut into chunks.
     again = _mixed(first.where(f"size > {LIMIT}").select("node", "key").join(comps, "key").where("key = comp").select("node", "key", "comp"))
     comps = stored(apply(comps, resolve(sized(again, 2))), "comps")
-    settle(spark, before, sets, reps, comps)
+    settle(spark, before, texts, reps, comps)
 
     # All trees, down to small nodes; then blocks of the nodes that stay large.
     rows = _branch(reps.select("key", "sig").join(comps, "key"), _SLIM, second, roots(range(TREES)))
@@ -331,23 +335,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows = stored(_mixed(rows.distinct()), "nodes")
         small = rows.where(f"size <= {LIMIT}").withColumn("task", _hash("node", F.lit(3)))
         leaves = small if leaves is None else leaves.unionByName(small)
-        settle(spark, before, sets, reps, comps, leaves, rows)
+        settle(spark, before, texts, reps, comps, leaves, rows)
         rows = rows.where(f"size > {LIMIT}")
         if depth < DEPTH:
             rows = _branch(rows.join(reps.select("key", "sig"), "key"), _SLIM, second)
     large = rows.withColumn("parts", F.ceil(F.col("size") / (LIMIT // 2)).cast("int")).withColumn("i", F.pmod(_hash("key"), F.col("parts")).cast("int"))
     large = large.withColumn("j", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("task", _hash("node", F.least("i", "j"), F.greatest("i", "j"), F.lit(4)))
     links = resolve(leaves.select("task", "key", "comp").unionByName(large.select("task", "key", "comp")))
-    settle(spark, before, sets, reps, comps, links)
+    settle(spark, before, texts, reps, comps, links)
     found = components(links)
     comps = stored(apply(comps, found), "comps")
-    settle(spark, before, sets, reps, comps)
+    settle(spark, before, texts, reps, comps)
 
     own = reps.select("key", F.nullif("did", F.lit(NO_ID)).alias("did")).join(comps, "key")
     least = own.groupBy("comp").agg(F.min("did").alias("component_id"))
     named = own.join(least, "comp").select("key", "component_id")
     # The same key for all copies of a text: a side of one row per class, and the other's large groups can be split.
-    out = sets.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
+    out = texts.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
 

@@ -1,5 +1,6 @@
 """Near duplicates against all pairs of full sets."""
 
+import os
 import random
 import re
 
@@ -90,6 +91,15 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_what_is_kept_of_every_document_is_smaller_than_its_text(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(800)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=1500))) for i in range(200)]
+    kept, _ = neardup.classes_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    bytes_kept = sum(os.path.getsize(f.removeprefix("file:").replace("//", "")) for f in kept.inputFiles())
+    assert 0 < bytes_kept < 0.8 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize("limit", [512, 6])
 def test_against_all_pairs(spark, monkeypatch, limit):
     monkeypatch.setattr(neardup, "LIMIT", limit)
