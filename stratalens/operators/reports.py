@@ -83,18 +83,29 @@ def related_files(files: DataFrame, same_dir: float = 0.25, same_token: float =
 
     A file's partners are scored by what they share: directory and token, one of them, or nothing
     (then they are no partners); equal scores go by name. Since all members of a group score alike,
-    the first top + 1 of each group suffice; they are found within salted parts first, so a group
-    of any size is no single task's work and no pairs within it are listed.
+    the first top + 1 of each group suffice, and those of a directory or a token are among the first
+    of its parts. A group's names meet its files in `salts` parts, so a group of any size is no single
+    task's work, and a row never carries more than two such lists: no pairs are listed or summed up.
     """
+    # keys within structs: no filter on nulls gets below the windows, so all kinds share one exchange of `few`
+    d = files.where("file IS NOT NULL").select("file", *[F.struct(F.col(k).alias("of")).alias(k) for k in ("dir", "token")], F.pmod(F.xxhash64("file"), F.lit(salts)).alias("_salt"))
+    first = lambda rows, *by: rows.withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy("file"))).where(F.col("_r") <= top + 1).drop("_r")
+    few = first(d, "dir", "token", "_salt")
+    d = d.withColumn("_best", F.array().cast("array<struct<less: double, other: string>>"))
     kinds = [(["dir", "token"], same_dir + same_token), (["token"], same_token), (["dir"], same_dir)]
-    out = None
-    for keys, weight in kinds:
-        d = files.select("file", *keys).dropna(subset=keys).withColumn("_salt", F.pmod(F.xxhash64("file"), F.lit(salts)))
-        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("file"))
-        few = d.withColumn("_r", rank(*keys, "_salt")).where(F.col("_r") <= top + 1)
-        first = few.withColumn("_r", rank(*keys)).where(F.col("_r") <= top + 1).groupBy(*keys).agg(F.collect_list("file").alias("others"))  # at most top + 1
-        own = files.select("file", *keys).join(first, keys).select("file", F.explode("others").alias("other")).where("file <> other").withColumn("score", F.lit(weight))
-        out = own if out is None else out.unionByName(own)
-    best = out.groupBy("file", "other").agg(round2(F.max("score")).alias("score"))
-    w = Window.partitionBy("file").orderBy(F.col("score").desc(), "other")
-    return best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).drop("_rn")
+    none = F.array().cast("array<string>")
+    for keys, weight in sorted(kinds, key=lambda k: -k[1]):
+        others = first(few, *keys).groupBy(*keys).agg(F.collect_set("file").alias("_others"))  # at most top + 1
+        d = d.join(few.select(*keys, "_salt").distinct().join(others, keys), [*keys, "_salt"], "left")
+        known = F.concat(*[f"{k}.of" for k in keys]).isNotNull()
+        new = F.array_except(F.coalesce(F.when(known, F.col("_others")), none), F.concat(F.array("file"), F.col("_best.other")))
+        less = -round2(F.lit(weight))
+        found = F.transform(new, lambda x: F.struct(less.alias("less"), x.alias("other")))  # noqa: B023
+        d = d.withColumn("_best", F.slice(F.array_sort(F.concat("_best", found)), 1, top)).drop("_others")
+    own = Window.partitionBy("file")  # a file may have several rows of evidence
+    d = d.select("file", F.collect_list("_best").over(own).alias("_all"), F.row_number().over(own.orderBy("file")).alias("_rn")).where("_rn = 1")
+    every = F.array_sort(F.flatten("_all"))
+    names = F.slice(F.array_distinct(F.transform(every, lambda x: x["other"])), 1, top)
+    best = F.transform(names, lambda o: F.filter(every, lambda x: x["other"] == o)[0])
+    d = d.select("file", F.explode(F.when(F.size("_all") == 1, F.col("_all")[0]).otherwise(best)).alias("_b"))
+    return d.select("file", "_b.other", (-F.col("_b.less")).alias("score"))
