@@ -85,7 +85,7 @@ def cross_language_type_drift(spark, sf_dir):
 @query("""WITH r AS (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name AS route, p_brand AS root, p_type || ' ' || p_name AS words FROM part), t AS (SELECT route, root, unnest(list_distinct(regexp_split_to_array(lower(words), '[^a-z0-9]+'))) AS t FROM r)
 SELECT a.route, b.route AS other, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.route < b.route AND a.root <> b.root GROUP BY 1, 2 HAVING count(*) >= 3""")
 def parallel_destination(spark, sf_dir):
-    routes = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("route"), F.col("p_brand").alias("root"), F.concat_ws(" ", "p_type", "p_name").alias("words")).distinct()
+    routes = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name").alias("route"), F.col("p_brand").alias("root"), F.concat("p_type", F.lit(" "), "p_name").alias("words")).distinct()
     return drift.parallel_destinations(routes.select("route", "root", F.split(F.lower("words"), "[^a-z0-9]+").alias("tokens")), least=3)
 
 
