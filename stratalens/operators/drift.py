@@ -47,25 +47,25 @@ def type_drift(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _set_pairs(sets: DataFrame, least: int, salts: int, short: int = 32) -> DataFrame:
-    """Pairs (left, right, shared; each once, a set also with itself) of distinct sets (tokens) that share `least` tokens.
+    """Pairs (left, right, shared, and parts of the right; each once, a set also with itself) of distinct sets (tokens, parts) that share `least` tokens.
 
     Two tokens (one if least is 1) of the rarest ones that each set can't do without pair them, and a
     pair counts only where those are the first that it shares, so nothing is summed up by pair. Sets
     of more than `short` tokens, which hold many pairs of tokens, meet the others by single ones.
     """
     n = min(least, 2)
-    t = sets.where(F.size("tokens") >= least).select("tokens", F.explode("tokens").alias("t"), F.pmod(F.xxhash64("tokens"), F.lit(salts)).alias("_salt"))
+    t = sets.where(F.size("tokens") >= least).select("tokens", "parts", F.explode("tokens").alias("t"), F.pmod(F.xxhash64("tokens"), F.lit(salts)).alias("_salt"))
     often = t.groupBy("t").agg(F.count("*").alias("_often")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = t.join(often, ["t", "_salt"]).groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("_often", "t"))).alias("_o")).select(F.col("_o.t").alias("by"))
+    d = t.join(often, ["t", "_salt"]).groupBy("tokens", "parts").agg(F.array_sort(F.collect_list(F.struct("_often", "t"))).alias("_o")).select(F.col("_o.t").alias("by"), "parts")
     head = lambda k: F.slice("by", 1, F.size("by") - (least - k))
-    one = lambda rows: rows.select("by", F.explode(F.transform(head(1), lambda x: F.array(x))).alias("key"))
-    two = lambda rows: rows.select("by", F.explode(F.flatten(F.transform(head(2), lambda x, k: F.transform(F.slice(head(2), k + 2, F.size("by")), lambda y: F.array(x, y))))).alias("key"))
+    one = lambda rows: rows.select("by", "parts", F.explode(F.transform(head(1), lambda x: F.array(x))).alias("key"))
+    two = lambda rows: rows.select("by", "parts", F.explode(F.flatten(F.transform(head(2), lambda x, k: F.transform(F.slice(head(2), k + 2, F.size("by")), lambda y: F.array(x, y))))).alias("key"))
     both, long = F.array_intersect("a.by", "b.by"), F.size("by") > short
     same = (F.col("a.key") == F.col("b.key")) & (F.size(both) >= least)
 
     def pairs(a, b, k, order):
         found = a.alias("a").join(b.alias("b"), same & (F.slice(both, 1, k) == F.col("a.key")) & order)
-        return found.select(F.array_sort("a.by").alias("left"), F.array_sort("b.by").alias("right"), F.size(both).cast("bigint").alias("shared"))
+        return found.select(F.array_sort("a.by").alias("left"), F.array_sort("b.by").alias("right"), F.size(both).cast("bigint").alias("shared"), "b.parts")
 
     order = F.col("a.by") <= F.col("b.by")
     if n == 1:
@@ -77,18 +77,18 @@ def _set_pairs(sets: DataFrame, least: int, salts: int, short: int = 32) -> Data
 def parallel_destinations(routes: DataFrame, least: int = 2, salts: int = 8) -> DataFrame:
     """Pairs of routes of different roots that share tokens: route, other, shared. routes: (route, root, tokens).
 
-    Distinct sets of tokens are paired, then their routes, in `salts` parts of a set, so memory and
+    Distinct sets of tokens are paired, then their routes, in up to `salts` parts of a set with many, so memory and
     what is moved follow the routes and the pairs found. Only a route with several rows, whose tokens
     add up over them, is paired by token.
     """
     least = max(least, 1)
     tokens = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())))
     d = routes.where("route IS NOT NULL AND root IS NOT NULL").select("route", "root", tokens.alias("tokens"), F.count("*").over(Window.partitionBy("route")).alias("_n"))
-    one = d.where("_n = 1")
-    pairs = _set_pairs(one.select("tokens").distinct(), least, salts)
-    a = one.select(F.col("tokens").alias("left"), F.col("route").alias("_a"), F.col("root").alias("_root"), F.pmod(F.xxhash64("route"), F.lit(salts)).alias("_salt"))
-    b = one.select(F.col("tokens").alias("right"), F.col("route").alias("_b"), "root", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    found = pairs.join(a, "left").join(b, ["right", "_salt"]).where((F.col("_root") != F.col("root")) & ((F.col("left") != F.col("right")) | (F.col("_a") < F.col("_b"))))
+    one = d.where("_n = 1").withColumn("parts", F.least(F.ceil(F.count("*").over(Window.partitionBy("tokens")) / 500), F.lit(salts)))
+    pairs = _set_pairs(one.select("tokens", "parts").distinct(), least, salts)
+    a = one.select(F.col("tokens").alias("left"), F.col("route").alias("_a"), F.col("root").alias("_root"))
+    b = one.select(F.col("tokens").alias("right"), F.col("route").alias("_b"), "root", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_salt"))
+    found = pairs.join(a, "left").withColumn("_salt", F.pmod(F.xxhash64("_a"), F.col("parts"))).join(b, ["right", "_salt"]).where((F.col("_root") != F.col("root")) & ((F.col("left") != F.col("right")) | (F.col("_a") < F.col("_b"))))
     t = d.select("route", "root", "_n", F.explode("tokens").alias("t"))
     m, o = t.where("_n > 1").alias("m"), t.alias("o")
     on = (F.col("m.t") == F.col("o.t")) & (F.col("m.root") != F.col("o.root")) & ((F.col("m.route") < F.col("o.route")) | ((F.col("m.route") > F.col("o.route")) & (F.col("o._n") == 1)))

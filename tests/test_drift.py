@@ -32,6 +32,12 @@ def test_parallel_destinations_as_by_all_pairs(spark, least):
     assert sorted(map(tuple, got.collect())) == parallel(rows, least)
 
 
+def test_parallel_destinations_of_one_large_set(spark):
+    rows = spark.range(1300).select(F.col("id").cast("string").alias("route"), (F.col("id") % 2).cast("string").alias("root"), F.array(F.lit("hot"), F.lit("rod")).alias("tokens"))
+    df = drift.parallel_destinations(rows)
+    assert df.count() == df.distinct().count() == 650 * 650
+
+
 def test_parallel_destinations_sum_up_no_pairs(spark):
     """Routes that share few tokens pass no aggregation as pairs: 200 routes share 'hot', and none shares two."""
     rows = spark.range(200).select(F.col("id").cast("string").alias("route"), F.col("id").cast("string").alias("root"), F.array(F.lit("hot"), F.concat(F.lit("w"), F.col("id"))).alias("tokens"))
